@@ -8,7 +8,8 @@ confirm it.
 
 No link is lost inside a band bucket: members are first held against the bucket's pivot; where a bucket
 then still spans several components, everything outside its largest component is held against all of
-the bucket (in blocks when the bucket is large). A pair at the threshold misses all bands with a
+the bucket. Of a large bucket, a block of members and a block of outsiders meet at a time; that task compares
+their sets and gives back only the links that join components, so the rows stay in proportion to the members. A pair at the threshold misses all bands with a
 probability of (1 - 0.85^5)^32, below 1e-8.
 """
 
@@ -102,14 +103,17 @@ def _sketched(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, packed: bool):
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t, hashes, width).view(np.int64) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            texts = as_bytes(batch.column(1))
+            for i in range(0, len(texts), 256):
+                found = [shingles(t, hashes, width) for t in texts[i : i + 256]]
+                values = pa.array([x.tobytes() for x in found], pa.binary()) if packed else pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(found)), values], ["doc_id", "shingles"])
 
     return run
 
@@ -128,27 +132,62 @@ def _likely(floor: float):
     return run
 
 
-def _in_block(floor: float):
+def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of the sets of a with those of b, by products of incidence matrices over slices of the elements."""
+    words, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(words), columns):
+        i, j = np.searchsorted(place, [lo, lo + columns])
+        m = np.zeros((len(a) + len(b), columns), np.float32)
+        m[owner[i:j], place[i:j] - lo] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _in_block(floor: float, percent: int):
+    """Links between the outsiders of a bucket and one block of its members, as many as join their components, no more."""
+
     def run(pdf):
         import pandas as pd
 
-        rest, all_ = pdf[pdf.outside], pdf[pdf.own]
+        rest, own = pdf[pdf.outside].reset_index(drop=True), pdf[pdf.own].reset_index(drop=True)
+        a, b = (np.frombuffer(b"".join(x.sketch), ">u2").reshape(-1, REGISTERS).astype(np.uint16) for x in (rest, own))
+        na, nb = rest.n_shingles.to_numpy(float), own.n_shingles.to_numpy(float)
+        ra, rb = rest.root.to_numpy(), own.root.to_numpy()
+        ia, ib = [], []
+        for i in range(len(rest)):
+            k = np.flatnonzero(((a[i] == b).mean(1) >= floor - 0.15) & (rb != ra[i]))  # a cheap first look, then the likelihood
+            k = k[estimate(np.broadcast_to(a[i], (len(k), REGISTERS)), b[k], np.full(len(k), na[i]), nb[k]) >= floor] if len(k) else k
+            ia.append(np.full(len(k), i)), ib.append(k)
+        ia, ib = (np.concatenate(x) if x else np.empty(0, int) for x in (ia, ib))
+        ua, pa_ = np.unique(ia, return_inverse=True)
+        ub, pb_ = np.unique(ib, return_inverse=True)
+        found: dict[int, int] = {}
+
+        def top(x):
+            while found.get(x, x) != x:
+                x = found[x]
+            return x
+
         out = []
-        b, nb, cb, ib = (np.frombuffer(b"".join(all_.sketch), ">u2").reshape(-1, REGISTERS).astype(np.uint16), all_.n_shingles.to_numpy(float), all_.root.to_numpy(), all_.rep.to_numpy())
-        for sketch, n, root, rep in zip(rest.sketch, rest.n_shingles, rest.root, rest.rep):
-            a = np.broadcast_to(np.frombuffer(sketch, ">u2").astype(np.uint16), b.shape)
-            hit = (a == b).mean(1) >= floor - 0.15  # cheap first look; the likelihood decides
-            hit &= cb != root
-            if hit.any():
-                k = np.flatnonzero(hit)
-                k = k[estimate(a[k], b[k], np.full(len(k), float(n)), nb[k]) >= floor]
-                out.append(pd.DataFrame({"a": np.maximum(rep, ib[k]), "b": np.minimum(rep, ib[k])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        if len(ia):
+            both = _common(*([np.frombuffer(x.shingles[i], np.uint64) for i in u] for x, u in ((rest, ua), (own, ub))))[pa_, pb_]
+            linked = both * 100 >= (na[ia] + nb[ib] - both) * percent
+            for i, j in zip(ia[linked], ib[linked]):
+                x, y = top(int(ra[i])), top(int(rb[j]))
+                if x != y:
+                    found[max(x, y)] = min(x, y)
+                    p, q = int(rest.rep[i]), int(own.rep[j])
+                    out.append((max(p, q), min(p, q)))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: float = 0.17, small_bucket: int = 64, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: float = 0.17, small_bucket: int = 64, block: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     docs: columns doc_id (long) and text; others are ignored. Documents whose sets share percent/100 of their
@@ -174,40 +213,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     buckets = buckets.where("n > 1").select("key", "n", F.col("low").bitwiseXOR(F.col("key")).alias("pivot"))
     inside = checkpoint(bands.join(buckets, "key"))
 
-    def confirmed(pairs: DataFrame, rated: bool) -> DataFrame:
-        if not rated:
-            ra = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-            rb = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-            close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            pairs = pairs.join(ra, "a").join(rb, "b").where(close).mapInArrow(_likely(floor), "a long, b long")
-        pairs = checkpoint(pairs)
-        named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(named, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-        sets = checkpoint(sets)
+    def sets_of(named: DataFrame, packed: bool = False) -> DataFrame:
+        kind = "binary" if packed else "array<long>"
+        found = docs.join(named, "doc_id", "left_semi").mapInArrow(_sets(width, packed), f"doc_id long, shingles {kind}")
+        return checkpoint(found.dropDuplicates(["doc_id"]))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ra = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+        rb = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+        close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        pairs = checkpoint(pairs.join(ra, "a").join(rb, "b").where(close).mapInArrow(_likely(floor), "a long, b long"))
+        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         xa, xb = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
         both = F.size(F.array_intersect("xa", "xb"))
         held = pairs.join(xa, "a").join(xb, "b").select("a", "b", (both * 100 >= (F.size("xa") + F.size("xb") - both) * percent).alias("ok"))
         return checkpoint(held.where("ok").select("a", "b"))
 
     star = inside.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-    links = confirmed(star, rated=False)
+    links = confirmed(star)
     roots = checkpoint(connected_components(links))
 
     labelled = inside.where("n > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     per = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = per.groupBy("key").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    main = per.groupBy("key").agg(F.max_by("root", "c").alias("main"), (F.sum("c") - F.max("c")).alias("outsiders")).where("outsiders > 0")
     open_ = checkpoint(labelled.join(main, "key").withColumn("outside", F.col("root") != F.col("main")))
     few = open_.where(f"n <= {small_bucket} and rep <> pivot")
     other = few.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
     pairs = few.where("outside").join(other, "key").where("root <> root2").select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
-    more = [confirmed(pairs, rated=False)]
+    more = [confirmed(pairs)]
     many = open_.where(f"n > {small_bucket}")
     if not many.isEmpty():
-        many = many.join(reps, "rep").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        many = many.withColumn("own_block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        own = many.select("key", F.col("own_block").alias("block"), "rep", "root", "n_shingles", "sketch", F.lit(True).alias("own"), F.lit(False).alias("outside"))
-        rest = many.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "root", "n_shingles", "sketch", F.lit(False).alias("own"), F.lit(True).alias("outside"))
-        more.append(confirmed(own.union(rest).groupBy("key", "block").applyInPandas(_in_block(floor), "a long, b long").distinct(), rated=True))
+        sets = sets_of(many.select(F.col("rep").alias("doc_id")).distinct(), packed=True).withColumnRenamed("doc_id", "rep")
+        many = many.join(reps.join(sets, "rep"), "rep")
+        own_blocks, rest_blocks = (F.ceil(F.col(c) / block).cast("int") for c in ("n", "outsiders"))
+        names = ["rep", "root", "n_shingles", "sketch", "shingles"]
+        dealt, dealt_rest = (F.pmod(F.xxhash64("rep"), n).cast("int") for n in (own_blocks, rest_blocks))
+        own = many.select("key", dealt.alias("block"), F.explode(F.sequence(F.lit(0), rest_blocks - 1)).alias("rest_block"), *names, F.lit(True).alias("own"), F.lit(False).alias("outside"))
+        rest = many.where("outside").select("key", F.explode(F.sequence(F.lit(0), own_blocks - 1)).alias("block"), dealt_rest.alias("rest_block"), *names, F.lit(False).alias("own"), F.lit(True).alias("outside"))
+        more.append(checkpoint(own.union(rest).groupBy("key", "block", "rest_block").applyInPandas(_in_block(floor, percent), "a long, b long").distinct()))
     added = more[0] if len(more) == 1 else more[0].union(more[1])
     if not added.isEmpty():
         roots = checkpoint(connected_components(links.union(added)))
