@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from gleaner.plans import etl_queries, label_queries, metric_queries, retrieval_queries, text_queries  # noqa: F401  they register themselves
+from gleaner.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
