@@ -1,3 +1,21 @@
-"""SQL for the queries that SQL can express."""
+"""SQL for the queries that SQL can express; the others are held against plain Python versions in tests/llm."""
 
-ORACLES: dict[str, str] = {}
+_COMPONENTS = """
+reach AS (SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+component AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0)),
+links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+nodes AS (SELECT vec_id AS id FROM embeddings),{_COMPONENTS},
+counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM component LEFT JOIN counts USING (id)""",
+    "op4_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, greatest(2, len(w) - 3))]) END AS s FROM w),
+flat AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
+links1 AS (SELECT a.id AS a, b.id AS b FROM flat a JOIN flat b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT * FROM links1), nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
+SELECT id AS doc_id, len(s) AS n_shingles, component_id, id = component_id AS kept FROM component JOIN sets USING (id)""",
+}
