@@ -56,6 +56,11 @@ SELF_SHORT = r"(?iU)\b(?:этот|этого|данный|данного|нас
 DASHES = "‐‑‒–—―−"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once; a column expression inside a lambda would be evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _replace(text: Column, *steps: tuple[str, str]) -> Column:
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
@@ -221,3 +226,34 @@ def slug(text: Column) -> Column:
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.translate(out, "абвгдезийклмнопрстуфыэ", "abvgdeziiklmnoprstufye")
     return F.btrim(F.regexp_replace(out, "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+# What a question without an act of the corpus is about, in order.
+TOPICS = (
+    ("форма отчетности", r"(?iU)\bформ[аеы]\s+0409|\bотчетност"),
+    ("федеральный закон", r"(?iU)\d+-ФЗ|федеральн\w+ закон"),
+    ("письмо или информационное сообщение", r"(?iU)письм|информационн\w+ сообщени"),
+    ("мера поддержки или разъяснение без акта", r"(?iU)мер[аы] (?:по )?поддержк|пандеми"),
+)
+
+
+def topic(section: Column, acts: Column) -> Column:
+    """The first topic whose pattern the section or the named acts show; else whether an act was named at all."""
+    hay = F.concat(F.coalesce(section, F.lit("")), F.lit(" "), F.array_join(F.coalesce(acts, F.array().cast("array<string>")), " "))
+    out = None
+    for name, pattern in TOPICS:
+        out = F.when(hay.rlike(pattern), name) if out is None else out.when(hay.rlike(pattern), name)
+    return out.when(F.coalesce(F.size(acts), F.lit(0)) <= 0, "акт не назван ни в разделе, ни в вопросе").otherwise("назван акт, которого нет в корпусе")
+
+
+def clause_numbers(text: Column) -> Column:
+    """Distinct numbers of clauses with a dot that stand behind a word for a clause."""
+    lists = F.regexp_extract_all(text, F.lit(rf"(?iU){POINTER}(\s*{CLAUSES})"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"\d+(?:\.\d+)+"), F.lit(0)))))
+
+
+def body_under_formula(text: Column, number: Column, date: Column) -> Column:
+    """What follows the first empty line if the act's formula stands above it, else the whole text."""
+    at = F.instr(text, "\n\n")
+    formula = F.concat(F.lit("Банка России № "), number, F.lit(" от "), date)
+    return F.when((at > 0) & F.contains(F.substring(text, F.lit(1), at - 1), formula), F.substring(text, at + 2, F.length(text))).otherwise(text)

@@ -6,12 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
+
 
 def unit(vector: Column, dim: int = 0) -> Column:
     """The first dim components (all for 0) at unit length; a zero vector stays zero."""
     v = F.transform(F.slice(vector, 1, dim) if dim else vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm > 0, norm).otherwise(1.0))
+
+    def scaled(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(F.when(norm > 0, norm).otherwise(1.0), lambda n: F.transform(v, lambda x: x / n))
+
+    return let(v, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -89,3 +89,18 @@ def stratified(items: DataFrame, stratum: str, key: str, size: int, seed: int =
     placed = items.withColumn("_o", order).withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(share))
     placed = placed.withColumn("_late", (F.col("_r") > F.col("share")).cast("int"))
     return placed.orderBy("_late", "_o", key).limit(size).drop("_o", "_r", "share", "_late")
+
+
+def sheet_grade(row: dict[str, Column] | None = None) -> Column:
+    """The grade of a sheet row in either dialect: the filled mark, else from the two answers under their old or numbered names."""
+    row = row or {n: F.col(n) for n in ("otsenka_0_1_2", "otvet_celikom", "otvet1_celikom", "otvet_vmeste", "otvet2_vmeste")}
+
+    def filled(*names):
+        return F.lower(F.coalesce(*(F.nullif(F.trim(row[n]), F.lit("")) for n in names), F.lit("")))
+
+    mark = F.trim(row["otsenka_0_1_2"])
+    first, second = filled("otvet_celikom", "otvet1_celikom"), filled("otvet_vmeste", "otvet2_vmeste")
+    return (
+        F.when(mark.isin("0", "1", "2"), mark.cast("int")).when(first == "да", 2)
+        .when((first == "нет") & (second == "да"), 1).when((first == "нет") & (second == "нет"), 0)
+    )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import STOPWORDS, split_tokens, truncate_tokens
+from gleaner.functions.text import STOPWORDS, let, split_tokens, truncate_tokens
 from gleaner.operators import bm25, chunking, dense
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,7 +87,9 @@ def run_stems(spark, d, k=50):
 
 
 def grams(tokens, n=8):
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n tokens, joined; none for fewer tokens."""
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
 
 
 def text_qrels(spark, d):

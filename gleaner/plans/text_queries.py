@@ -282,3 +282,72 @@ def _(spark, d):
 @query("d3_calibrate", "SELECT lang, round(sum(length(text)) / sum(greatest(1, floor(length(text) / 3.2))), 6) AS chars_per_token FROM documents GROUP BY lang")
 def _(spark, d):
     return documents(spark, d).groupBy("lang").agg(F.round(F.sum(F.length("text")) / F.sum(chunking.count_tokens(F.col("text"))), 6).alias("chars_per_token"))
+
+
+TOPIC = Literal("id int, section string, acts array<string>", [
+    (1, "Форма 0409101", []), (2, "", ["115-ФЗ"]), (3, "Информационные сообщения", ["x"]), (4, "Пандемия", []), (5, "Национальная платежная система", []), (6, "Прочее", ["999-П"]), (7, None, None)
+])
+TOPIC_OF = Literal("id int, topic string", [
+    (1, "форма отчетности"), (2, "федеральный закон"), (3, "назван акт, которого нет в корпусе"), (4, "мера поддержки или разъяснение без акта"), (5, "акт не назван ни в разделе, ни в вопросе"), (6, "назван акт, которого нет в корпусе"), (7, "акт не назван ни в разделе, ни в вопросе")
+])
+
+
+@query("e23_topic", f"SELECT * FROM {TOPIC_OF.sql}")
+def _(spark, d):
+    return TOPIC.df(spark).select("id", text.topic(F.col("section"), F.col("acts")).alias("topic"))
+
+
+CLAUSED = Literal("id int, s string", [(1, "пп. 3.12.2.8 и п. 3.10, 3.10"), (2, "пункт 5"), (3, "п.п. 3.13 и 3.14 Инструкции"), (4, "от 27.03.2020")])
+
+
+@query("e21_clause_numbers", f"SELECT * FROM {Literal('id int, clauses string', [(1, '3.12.2.8,3.10'), (2, ''), (3, '3.13,3.14'), (4, '')]).sql}")
+def _(spark, d):
+    return CLAUSED.df(spark).select("id", F.array_join(text.clause_numbers(F.col("s")), ",").alias("clauses"))
+
+
+HEADED = Literal("id int, s string", [(1, "Указание Банка России № 1-У от 01.01.2020. О\n\nтело\n\nещё"), (2, "Другое\n\nтело"), (3, "без шапки")])
+
+
+@query("d12b_body_under_formula", f"SELECT * FROM {Literal('id int, body string', [(1, 'тело' + chr(10) * 2 + 'ещё'), (2, 'Другое' + chr(10) * 2 + 'тело'), (3, 'без шапки')]).sql}")
+def _(spark, d):
+    return HEADED.df(spark).select("id", text.body_under_formula(F.col("s"), F.lit("1-У"), F.lit("01.01.2020")).alias("body"))
+
+
+SHEETS = Literal("id int, otsenka_0_1_2 string, otvet_celikom string, otvet1_celikom string, otvet_vmeste string, otvet2_vmeste string", [
+    (1, "2", "", None, "", None), (2, "", "Да", None, "", None), (3, None, None, "нет", None, "ДА "), (4, "", "нет", None, "нет", None), (5, "", "нет", None, "", None), (6, "7", "", "", "", "")
+])
+
+
+@query("a6_sheet_dialects", f"SELECT * FROM {Literal('id int, grade int', [(1, 2), (2, 2), (3, 1), (4, 0), (5, None), (6, None)]).sql}")
+def _(spark, d):
+    from gleaner.operators.judging import sheet_grade
+
+    return SHEETS.df(spark).select("id", sheet_grade().alias("grade"))
+
+
+@query("d2_offsets", "SELECT doc_id, CAST(ceil(length(text) / 3.0) AS BIGINT) AS n, CAST(length(text) - 3 * (ceil(length(text) / 3.0) - 1) AS BIGINT) AS last FROM documents WHERE text <> ''")
+def _(spark, d):
+    n = F.ceil(F.length("text") / chunking.STEP)
+    return documents(spark, d).where("text <> ''").select("doc_id", n.cast("long").alias("n"), (F.length("text") - chunking.STEP * (n - 1)).cast("long").alias("last"))
+
+
+@query("g11_encoder_stub", """
+SELECT doc_id, [CAST(len([1 for t in tokens if ('0x' || substring(md5(t), 1, 8))::UBIGINT % 16 = i]) AS DOUBLE) for i in range(16)] AS embedding FROM doctok""")
+def _(spark, d):
+    from gleaner.operators.models import hash_embedding
+
+    return documents(spark, d).select("doc_id", hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query("f13_judge_stub", """
+WITH s AS (SELECT r.query_id, r.doc_id, len(list_intersect(list_distinct(q.tokens), t.tokens)) / greatest(len(list_distinct(q.tokens)), 1) AS share FROM run_words r JOIN questok q USING (query_id) JOIN doctok t USING (doc_id) WHERE rank <= 10)
+SELECT query_id, doc_id, CASE WHEN share >= 0.5 THEN 2 WHEN share >= 0.25 THEN 1 ELSE 0 END AS grade FROM s""")
+def _(spark, d):
+    """The judging loop with a stub for the model: answers as text, parsed and graded."""
+    from gleaner.operators.judging import grade, parse_answer
+    from gleaner.operators.models import overlap_judge
+    from gleaner.plans.base import run_words
+
+    q = questions(spark, d).withColumnRenamed("text", "question")
+    pairs = run_words(spark, d, 10).select("query_id", "doc_id").join(q, "query_id").join(documents(spark, d).select("doc_id", "text"), "doc_id")
+    return pairs.select("query_id", "doc_id", grade(parse_answer(overlap_judge(F.col("question"), F.col("text")))).alias("grade"))
