@@ -4,6 +4,22 @@ _COMPONENTS = """
 reach AS (SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
 component AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
 
+_ASSIGN = r'(?i)(password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)'
+_KINDS = ((_ASSIGN, 2), ("AKIA[A-Z0-9]{16,}", 0), ("[0-9a-f]{24,}", 0), ("[A-Za-z0-9_-]{32,}", 0))
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, src, {k} AS k, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS g FROM d" for k, (p, g) in enumerate(_KINDS))
+
+
+def _lookup() -> str:
+    """The table of op8 as SQL: which shard each slot belongs to doesn't depend on the data."""
+    from gleaner.llm.queries import SHARDS
+    from gleaner.llm.sharding import SLOTS, lookup_table
+
+    table = ",".join(map(str, lookup_table(SHARDS)))
+    return f"""
+WITH t AS (SELECT string_split('{table}', ',') AS t), k AS (SELECT doc_id, CAST(('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8))::UBIGINT % {SLOTS} AS BIGINT) AS slot FROM documents)
+SELECT doc_id, slot, printf('shard-%03d', CAST(t.t[slot + 1] AS INTEGER)) AS shard FROM k, t"""
+
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0)),
@@ -18,4 +34,15 @@ flat AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
 links1 AS (SELECT a.id AS a, b.id AS b FROM flat a JOIN flat b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 links AS (SELECT * FROM links1), nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
 SELECT id AS doc_id, len(s) AS n_shingles, component_id, id = component_id AS kept FROM component JOIN sets USING (id)""",
+    "op6_secret_scans": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '-none-') AS src, coalesce(text, '') AS t FROM documents), m AS ({_MATCHES}),
+e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
+p AS (SELECT doc_id, src, k, v[i] AS v, CAST(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in h[1:i - 1]]), 0) AS BIGINT) AS s, length(h[i]) AS n FROM e),
+f AS (SELECT *, s + n AS z FROM p WHERE CASE k WHEN 0 THEN length(v) >= 6 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') ELSE true END),
+o AS (SELECT v, count(DISTINCT src) AS owners FROM f GROUP BY v),
+every AS (SELECT f.*, owners FROM f JOIN o USING (v) WHERE k < 3 OR (owners < 3 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.k < 3 AND b.s < f.z AND f.s < b.z))),
+named AS (SELECT *, (['assign', 'access', 'hex', 'owned'])[k + 1] || ':' || s || ':' || z AS name FROM every)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256(coalesce(string_agg(name, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
+ coalesce(string_agg(name, ',' ORDER BY s, k), '') AS spans, count(*) FILTER (owners < 3) AS n_live FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id""",
+    "op8_sharding": _lookup(),
 }

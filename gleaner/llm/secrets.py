@@ -57,7 +57,7 @@ def scan_secrets(docs: DataFrame, copied_owners: int = 3, salts: int = 32) -> Da
     before the shuffle, and rows meet them under one of `salts` keys.
     """
     found = checkpoint(find(docs).withColumn("row", F.monotonically_increasing_id()))
-    kinds = [F.transform(k, lambda x, i=i: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(i).alias("k"), x.v.alias("v"))) for i, k in enumerate(("assign", "access", "hex", "long"))]
+    kinds = [F.expr(f"transform({name}, x -> named_struct('s', x.s, 'e', x.e, 'k', {k}, 'v', x.v))") for k, name in enumerate(("assign", "access", "hex", "long"))]
     any_ = found.where("size(assign) + size(access) + size(hex) + size(long) > 0")
     spans = any_.select("row", "source", F.explode(F.concat(*kinds)).alias("x")).select("row", "source", "x.s", "x.e", "x.k", F.xxhash64("x.v").alias("h"))
     # owners: first one row for each value and owner, then their number; both with partial sums before the shuffle
