@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import as_bytes, learns
 
-CHAIN, SLOTS, BEGINNINGS, CLIP = 64, 1 << 18, (4, 5, 6), 12.0
+CHAIN, SLOTS, BEGINNINGS, CLIP = 64, 1 << 18, (4, 5, 6, 7, 8), 12.0
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _TOKEN = re.compile(rb"[^ ]+")
 
@@ -134,15 +134,27 @@ def _inputs(summary: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(top)), np.log(top / (1 - top)), np.log(summary[:, 1] + 1e-4)], 1)
 
 
-def label_tokens(texts: list[bytes], toxic: list[int], least: int = 2, share: float = 0.9) -> list[np.ndarray]:
-    """Token labels from document labels: 1 where a feature of a token of a toxic text is held by toxic texts almost only."""
+def label_tokens(texts: list[bytes], toxic: list[int], evidence: float = 7.5, share: float = 0.9) -> list[np.ndarray]:
+    """Token labels from document labels: 1 where a feature of a token of a toxic text is held by toxic texts almost only.
+
+    A feature that many toxic texts hold by chance alone is unlikely; one of them counts as labelled if the logarithm
+    of that chance, were its holders drawn at random, lies below -evidence.
+    """
     held = (Counter(), Counter())
     kept = [tokens(t) for t in texts]
     for words, x in zip(kept, toxic):
         held[x].update({f for w in set(words) for f in features(w)})
     n = max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))
-    strong = {f for f, c in held[1].items() if c >= least and (c / n[1]) / (c / n[1] + (held[0][f] + 0.5) / n[0]) >= share}
-    return [np.array([bool(x) and any(f in strong for f in features(w)) for w in words], float) for words, x in zip(kept, toxic)]
+    usual = n[1] / (n[0] + n[1])
+
+    def strong(f, c):
+        other = held[0][f]
+        rate = c / (c + other)
+        chance = c * np.log(rate / usual) + (other * np.log((1 - rate) / (1 - usual)) if other else 0)
+        return rate > usual and chance >= evidence and (c / n[1]) / (c / n[1] + (other + 0.5) / n[0]) >= share
+
+    marks = {f for f, c in held[1].items() if c > 1 and strong(f, c)}
+    return [np.array([bool(x) and any(f in marks for f in features(w)) for w in words], float) for words, x in zip(kept, toxic)]
 
 
 def fit(texts: list[bytes], toxic: list[int], epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> Model:
@@ -204,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_chars: in
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [named.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample) for k in (0, 1)]
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, most_chars).alias("text"))
-    got = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("h")).collect()
-    got.sort(key=lambda r: (r.h, r.text))
+    got = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: r.doc_id)
     if len({r.toxic for r in got}) < 2:
         return None
     return fit([r.text.encode() for r in got], [r.toxic for r in got])
