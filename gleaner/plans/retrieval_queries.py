@@ -340,7 +340,7 @@ HEAD = Literal("id int, kind string, number string, date string, title string, s
     (3, "ПИСЬМО", "7-Т", "02.02.2002", "Очень длинное название этого письма, которое не помещается", "", 24), (4, "ПИСЬМО", "7-Т", "02.02.2002", "Название", "", 10),
 ])
 HEADS = Literal("id int, head string", [
-    (1, "Указание Банка России № 590-П от 28.06.2017. О порядке"), (2, "Положение Банка России № 1-П от 01.01.2020. О правилах. Глава 1"), (3, "Письмо Банка России № 7-Т от 02.02.2002. Очень длинное назва…"), (4, "Письмо Банка России № 7-Т от 02.02.2002"),
+    (1, "Указание Банка России № 590-П от 28.06.2017. О порядке"), (2, "Положение Банка России № 1-П от 01.01.2020. О правилах. Глава 1"), (3, "Письмо Банка России № 7-Т от 02.02.2002. Очень длинное название этого п…"), (4, "Письмо Банка России № 7-Т от 02.02.2002"),
 ])
 
 

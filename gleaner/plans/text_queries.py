@@ -288,7 +288,7 @@ TOPIC = Literal("id int, section string, acts array<string>", [
     (1, "Форма 0409101", []), (2, "", ["115-ФЗ"]), (3, "Информационные сообщения", ["x"]), (4, "Пандемия", []), (5, "Национальная платежная система", []), (6, "Прочее", ["999-П"]), (7, None, None)
 ])
 TOPIC_OF = Literal("id int, topic string", [
-    (1, "форма отчетности"), (2, "федеральный закон"), (3, "назван акт, которого нет в корпусе"), (4, "мера поддержки или разъяснение без акта"), (5, "акт не назван ни в разделе, ни в вопросе"), (6, "назван акт, которого нет в корпусе"), (7, "акт не назван ни в разделе, ни в вопросе")
+    (1, "форма отчетности"), (2, "федеральный закон"), (3, "письмо или информационное сообщение"), (4, "мера поддержки или разъяснение без акта"), (5, "акт не назван ни в разделе, ни в вопросе"), (6, "назван акт, которого нет в корпусе"), (7, "акт не назван ни в разделе, ни в вопросе")
 ])
 
 
