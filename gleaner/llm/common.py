@@ -62,6 +62,18 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def marked(rows: DataFrame, named: DataFrame, name: str, key: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
+    """The rows with a boolean column `name`: false only where the key isn't among those of `named`.
+
+    The keys of `named` set bits in a table of fixed width, at most bits / 64 words, which is what is broadcast. A
+    join of the marked rows alone then shuffles the few rows that it may keep instead of all of them.
+    """
+    slot = f"pmod(xxhash64({key}), {bits}L)"
+    words = named.select(F.expr(slot).alias("_s")).distinct().groupBy(F.expr("shiftright(_s, 6)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_b"))
+    looked = rows.withColumn("_s", F.expr(slot)).join(F.broadcast(words), F.expr("shiftright(_s, 6) = _w"), "left")
+    return looked.select(*rows.columns, F.expr("coalesce(shiftright(_b, cast(_s & 63 as int)) & 1, 0) = 1").alias(name))
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node it reaches.
 

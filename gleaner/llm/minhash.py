@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WordHashes, as_bytes, checkpoint, connected_components, mixed
+from gleaner.llm.common import WordHashes, as_bytes, checkpoint, connected_components, marked, mixed
 
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 ROWS, BANDS = 5, 32
@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
 
     def sets_of(named: DataFrame, packed: bool = False) -> DataFrame:
         kind = "binary" if packed else "array<long>"
-        found = docs.join(named, "doc_id", "left_semi").mapInArrow(_sets(width, packed), f"doc_id long, shingles {kind}")
+        there = marked(docs, named, "there").where("there").select("doc_id", "text")
+        found = there.join(named, "doc_id", "left_semi").mapInArrow(_sets(width, packed), f"doc_id long, shingles {kind}")
         return checkpoint(found.dropDuplicates(["doc_id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
         rb = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
         close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         pairs = checkpoint(pairs.join(ra, "a").join(rb, "b").where(close).mapInArrow(_likely(floor), "a long, b long"))
-        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        sets = sets_of(checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
         xa, xb = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
         both = F.size(F.array_intersect("xa", "xb"))
         held = pairs.join(xa, "a").join(xb, "b").select("a", "b", (both * 100 >= (F.size("xa") + F.size("xb") - both) * percent).alias("ok"))
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     more = [confirmed(pairs)]
     many = open_.where(f"n > {small_bucket}")
     if not many.isEmpty():
-        sets = sets_of(many.select(F.col("rep").alias("doc_id")).distinct(), packed=True).withColumnRenamed("doc_id", "rep")
+        sets = sets_of(checkpoint(many.select(F.col("rep").alias("doc_id")).distinct()), packed=True).withColumnRenamed("doc_id", "rep")
         many = many.join(reps.join(sets, "rep"), "rep")
         own_blocks, rest_blocks = (F.ceil(F.col(c) / block).cast("int") for c in ("n", "outsiders"))
         names = ["rep", "root", "n_shingles", "sketch", "shingles"]
