@@ -3,8 +3,8 @@
 Each partition keeps a fixed number of open windows. A document's whole windows go out at once; its rest
 goes to the window that it fits best. When none fits, the fullest window is filled up with the head of the
 rest (if that head is long enough to be worth a cut) and emitted, and what remains opens a window. At its
-end a partition joins its open windows as far as they fit into each other; what still isn't full, a few
-windows a partition, is merged across partitions.
+end a partition fills its open windows up from each other; the one that then isn't full is merged with those of
+other partitions as far as they fit.
 """
 
 from __future__ import annotations
@@ -45,8 +45,17 @@ def encoder(ranks_path: str):
     return encode
 
 
+def pieces(parts: list[tuple]) -> list[tuple]:
+    """(doc_id, start, length, crc32, doc_tokens, offset) of a window's parts (ids, doc_id, start, doc_tokens), in their order."""
+    out, offset = [], 0
+    for ids, doc, start, total in parts:
+        out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, offset))
+        offset += len(ids)
+    return out
+
+
 class Windows:
-    """Open windows of one partition, found by the room they have left."""
+    """Open windows of one partition, found by the room they have left; they hold their ids until they close."""
 
     def __init__(self, size: int, open_windows: int, least_cut: int):
         self.size, self.most, self.least_cut = size, open_windows, least_cut
@@ -54,9 +63,6 @@ class Windows:
         self.held: dict[int, list] = {}
         self.next = 0
 
-    def piece(self, ids, doc, start, total, offset):
-        return (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, offset)
-
     def new(self) -> int:
         self.next += 1
         return self.next - 1
@@ -65,7 +71,7 @@ class Windows:
         """Yields (number, pieces) of every window that this document closes."""
         total, at = len(ids), 0
         while total - at >= self.size:
-            yield self.new(), [self.piece(ids[at : at + self.size], doc, at, total, 0)]
+            yield self.new(), pieces([(ids[at : at + self.size], doc, at, total)])
             at += self.size
         while at < total:
             rest = total - at
@@ -74,7 +80,9 @@ class Windows:
                 yield from self.put(k, ids[at:], doc, at, total)
                 return
             if len(self.rooms) < self.most:
-                self.open(ids[at:], doc, at, total)
+                number = self.new()
+                self.held[number] = [(ids[at:].copy(), doc, at, total)]
+                insort(self.rooms, (self.size - rest, number))
                 return
             room = self.rooms[0][0]
             if room >= self.least_cut:
@@ -82,23 +90,29 @@ class Windows:
                 at += room
             else:
                 _, number = self.rooms.pop(0)
-                yield number, self.held.pop(number)
-
-    def open(self, ids, doc, start, total):
-        number = self.new()
-        self.held[number] = [self.piece(ids, doc, start, total, 0)]
-        insort(self.rooms, (self.size - len(ids), number))
+                yield number, pieces(self.held.pop(number))
 
     def put(self, k, ids, doc, start, total):
         room, number = self.rooms.pop(k)
-        self.held[number].append(self.piece(ids, doc, start, total, self.size - room))
+        self.held[number].append((ids.copy(), doc, start, total))
         if room == len(ids):
-            yield number, self.held.pop(number)
+            yield number, pieces(self.held.pop(number))
         else:
             insort(self.rooms, (room - len(ids), number))
 
     def leftovers(self):
-        return merged([(number, self.size - room, self.held[number]) for room, number in self.rooms], self.size)
+        """(number, fill, pieces) of the windows that the open ones make when each is filled up from the next; only the last can have room."""
+        parts, room = [], self.size
+        for _, number in self.rooms:
+            for ids, doc, start, total in self.held[number]:
+                while len(ids):
+                    parts.append((ids[:room], doc, start, total))
+                    start, ids, room = start + len(parts[-1][0]), ids[room:], room - len(parts[-1][0])
+                    if not room:
+                        yield self.new(), self.size, pieces(parts)
+                        parts, room = [], self.size
+        if parts:
+            yield self.new(), self.size - room, pieces(parts)
 
 
 def merged(windows: list[tuple], size: int) -> list[tuple]:
@@ -138,7 +152,7 @@ def _packed(ranks_path: str, size: int, open_windows: int, least_cut: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 closed += windows.add(encode(text.as_py()), doc)
             yield rows(closed, False)
-        last = windows.leftovers()
+        last = list(windows.leftovers())
         yield rows([(n, p) for n, fill, p in last if fill == size], False)
         yield rows([(n, p) for n, fill, p in last if fill < size], True)
 
@@ -165,8 +179,8 @@ def pack(docs: DataFrame, ranks_path: str, size: int = 1024, open_windows: int =
     docs: doc_id and text; others are ignored. A null text counts as empty, so every row has at least the
     separator; rows with the same doc_id are packed each by itself, a null doc_id stays null. A sequence has at
     most `size` ids, offsets in it run gapless from 0, and the sequence ids are unique, not dense.
-    Only the last windows of each partition meet in a second step: one task for each `group` partitions, with a
-    few dozen rows from each, so that step stays bounded however many partitions there are.
+    Only the last window of each partition meets others in a second step: one task for each `group` partitions, with
+    a few rows from each, so that step stays bounded however many partitions there are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = checkpoint(docs.mapInArrow(_packed(ranks_path, size, open_windows, least_cut), COLUMNS + ", open boolean"))

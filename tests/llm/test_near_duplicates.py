@@ -83,14 +83,15 @@ def test_registers_merge_and_estimate():
     assert len(minhash.shingles(b"A b c", WordHashes())) == 1 == len(minhash.shingles(b"a B\tc", WordHashes()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 400_000])
+def test_components(spark, small):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (7, 7)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), small=small).collect()}
     real = [(a, b) for a, b in links if a is not None and a != b]
     want = roots({x for l in real for x in l}, real)
     assert got == want
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
 
 
 def cosine_brute(vectors, t=0.9):
