@@ -74,15 +74,40 @@ def marked(rows: DataFrame, named: DataFrame, name: str, key: str = "doc_id", bi
     return looked.select(*rows.columns, F.expr("coalesce(shiftright(_b, cast(_s & 63 as int)) & 1, 0) = 1").alias(name))
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _united(batches):
+    """(node, root) of all links in the batches, by union-find."""
+    import pandas as pd
+
+    top: dict[int, int] = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            a, b = find(a), find(b)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+    nodes = list(top)
+    for i in range(0, max(len(nodes), 1), 65_536):
+        part = nodes[i : i + 65_536]
+        yield pd.DataFrame({"node": part, "root": [find(x) for x in part]}, dtype="int64")
+
+
+def connected_components(links: DataFrame, max_rounds: int = 60, small: int = 400_000) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node it reaches.
 
-    Alternates large-star and small-star steps until the links form stars; each round is two
-    aggregations with partial minima and two joins, and is checkpointed. Null ends and loops are
-    left out. No link ever reaches the driver, only a count and a checksum for each round.
+    Up to `small` distinct links (counted first) are united in one task on an executor, which spares the rounds;
+    that task never gets more. Beyond that, large-star and small-star steps alternate until the links form stars; each
+    round is two aggregations with partial minima and two joins, and is checkpointed. Both ways give the same rows.
+    Null ends and loops are left out. No link ever reaches the driver, only a count and a checksum for each round.
     """
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("ok"))
     now = checkpoint(ends.where("ok and a <> b").select("a", "b").distinct())
+    if now.count() <= small:
+        return now.coalesce(1).mapInPandas(_united, "node long, root long")
     state = None
     for _ in range(max_rounds):
         sum_ = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.min(F.xxhash64("b", "a"))).first()
@@ -94,8 +119,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = checkpoint(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpoint(small.union(low.select("a", "m")).distinct())
+        star = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = checkpoint(star.union(low.select("a", "m")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
