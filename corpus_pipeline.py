@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import language, minhash, mixing, packing, queries, secrets
+from gleaner.llm.common import checkpoint, marked
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REDACTED = "[REDACTED]"
@@ -26,8 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    dropped = checkpoint(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    seen = marked(docs.select(*COLUMNS), dropped, "maybe_dropped")
+    kept = seen.where("maybe_dropped").join(dropped, "doc_id", "left_anti")
+    return seen.where("not maybe_dropped").select(*COLUMNS).union(kept.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

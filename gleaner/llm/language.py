@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,13 +104,15 @@ def train(docs: DataFrame, sample: int = 3000, most_chars: int = 20_000) -> Mode
     Learning texts beyond most_chars characters are cut (scored ones never are). None if there is no learning row.
     """
     rows = docs.where(learns(2, 4, False)).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") >= 20))
-    hash_ = F.xxhash64(F.col("doc_id").cast("long"), F.lit(3))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, most_chars).alias("text"))
     names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
     if not names:
         return None
-    each, got = max(8, sample // len(names)), []
-    for name in names:
-        got += rows.where(F.col("lang") == name).orderBy(hash_, "doc_id").select(F.substring("text", 1, most_chars).alias("text"), "lang").limit(each).collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    chosen = rows.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(8, sample // len(names)))
+    few = F.broadcast(chosen.select("doc_id", "lang").distinct())  # at most `sample` ids, or 8 a language
+    got = rows.join(few, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r.lang, r.doc_id))
     return fit([r.text.encode() for r in got], [r.lang for r in got])
 
 
