@@ -45,7 +45,7 @@ def scores(index: Index, queries: DataFrame, key: str, tokenizer=split_tokens, k
     """
     wanted = tokens_of(queries, key, tokenizer=tokenizer).groupBy(key, "token").agg(F.count("*").alias("qtf")).join(index.terms, "token")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
-    return index.postings.join(wanted, "token").join(index.docs, "doc_id").groupBy(key, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return index.postings.join(wanted, "token").join(index.docs, "doc_id").groupBy(key, "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
 
 
 def top(scored: DataFrame, key: str, k: int = 10) -> DataFrame:

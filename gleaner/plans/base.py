@@ -154,7 +154,7 @@ def _bm25_sql(name: str, token: str) -> str:
 {name}_raw AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {name}_tf, {name}_n GROUP BY token),
 {name}_idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {name}_raw) ELSE raw END AS idf FROM {name}_raw),
 {name}_q AS (SELECT query_id, {token} AS token, count(*) AS qtf FROM qtok GROUP BY ALL),
-{name}_scores AS (SELECT q.query_id, p.doc_id, round(sum(q.qtf * i.idf * p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.75 + 0.75 * l.dl / n.avgdl))), 6) AS score
+{name}_scores AS (SELECT q.query_id, p.doc_id, round(sum(q.qtf * i.idf * p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.75 + 0.75 * l.dl / n.avgdl))), 4) AS score
   FROM {name}_tf p JOIN {name}_q q USING (token) JOIN {name}_idf i USING (token) JOIN {name}_dl l ON l.doc_id = p.doc_id, {name}_n n GROUP BY ALL),
 run_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_scores) WHERE rank <= 50)"""
 
