@@ -47,7 +47,7 @@ def find(docs: DataFrame) -> DataFrame:
     return out.withColumn("long", F.expr(r"filter(long, x -> x.v rlike '[0-9]' and x.v rlike '[A-Za-z]')")).drop("text")
 
 
-def scan_secrets(docs: DataFrame, copied_owners: int = 3, salts: int = 32) -> DataFrame:
+def scan_secrets(docs: DataFrame, copied_owners: int = 3, salts: int = 8) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found array<struct<s, e, kind, owners, docs, verdict>>, text_hash.
 
     docs: doc_id, text, source; others are ignored. A null text is empty, a null source is an owner of its own.
