@@ -22,6 +22,11 @@ def _words(text: str = "text") -> str:
     return rf"array_remove(split(coalesce({text}, ''), r'{SPACE}', -1), '')"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with value, evaluated once, under a name. A column would not do: a later filter on a result may put the column's expression back into a lambda, where every element evaluates it anew."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _grams(words: str, buckets: int) -> str:
     """Bucket numbers of the words and the pairs of neighbours."""
     one = f"transform({words}, v -> cast(pmod(xxhash64(v), {buckets}) as int))"
@@ -31,8 +36,7 @@ def _grams(words: str, buckets: int) -> str:
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, n: n-grams of all texts by bucket; partial sums leave at most `buckets` rows of a task to shuffle."""
-    words = docs.select(F.expr(_words()).alias("w"))
-    grams = words.select(F.explode(F.expr(_grams("w", buckets))).alias("bucket"))
+    grams = docs.select(F.explode(F.expr(_let(_words(), "w", _grams("w", buckets)))).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -53,21 +57,18 @@ def log_ratios(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> lis
 def rate(docs: DataFrame, ratios: list[float], threshold: float) -> DataFrame:
     """doc_id, the base counts, llr, base_failed and kept of every row."""
     buckets = len(ratios)
-    d = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text").withColumn("w", F.expr(_words()))
     table = f"from_json('{json.dumps(ratios)}', 'array<double>')"
+    sorted_ = "array_sort(transform(h, (x, i) -> named_struct('h', x, 'i', i)))"
+    at = "array_sort(transform(filter(t, (x, k) -> x.h = get(t, k - 1).h or x.h = get(t, k + 1).h), x -> x.i))"
+    covered = f"aggregate({at}, named_struct('n', 0, 'end', 0), (a, i) -> named_struct('n', a.n + i + 8 - greatest(a.end, i), 'end', i + 8), a -> a.n)"
+    repeated = f"if(size(array_distinct(h)) < size(h), {_let(sorted_, 't', covered)}, 0)"
+    windows = "if(size(w) < 8, cast(array() as array<bigint>), transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8))))"
+    counts = f"""named_struct('n', size(w), 'word_chars', char_length(array_join(w, '')), 'repeated', {_let(windows, 'h', repeated)},
+        'sum', aggregate({_grams('w', buckets)}, 0D, (a, k) -> a + get({table}, k)))"""
     lines = rf"filter(split(text, '\n', -1), x -> x rlike r'{WORD}')"
-    d = d.select(
-        "doc_id",
-        F.expr("size(w)").alias("n"),
-        F.expr("char_length(array_join(w, ''))").alias("word_chars"),
-        F.expr("regexp_count(text, r'[#*$%&|<>]')").alias("n_symbols"),
-        F.expr(lines).alias("lines"),
-        F.expr("if(size(w) < 8, cast(array() as array<bigint>), transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8))))").alias("windows"),
-        F.expr(f"aggregate({_grams('w', buckets)}, 0D, (a, k) -> a + get({table}, k))").alias("sum"),
-    )
-    d = d.withColumn("twice", F.expr("if(size(array_distinct(windows)) < size(windows), array_sort(transform(windows, (h, i) -> named_struct('h', h, 'i', i))), cast(array() as array<struct<h: bigint, i: int>>))"))
-    at = "array_sort(transform(filter(twice, (x, k) -> x.h = get(twice, k - 1).h or x.h = get(twice, k + 1).h), x -> x.i))"
-    d = d.withColumn("at", F.expr(at)).withColumn("n_repeat_words", F.expr("cast(aggregate(at, named_struct('n', 0, 'end', 0), (a, i) -> named_struct('n', a.n + i + 8 - greatest(a.end, i), 'end', i + 8), a -> a.n) as long)"))
+    d = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
+    d = d.select("doc_id", F.expr(_let(_words(), "w", counts)).alias("c"), F.expr("regexp_count(text, r'[#*$%&|<>]')").alias("n_symbols"), F.expr(_let(lines, "l", "size(l) - size(array_distinct(l))")).alias("n_dup_lines"))
+    d = d.select("doc_id", "c.n", "c.word_chars", "n_symbols", "n_dup_lines", F.expr("cast(c.repeated as long)").alias("n_repeat_words"), "c.sum")
     failed = F.expr("n < 20 or 100 * n_repeat_words > 30 * n")
     grams = F.expr("2 * n - 1")
     llr = F.when(F.col("n") > 0, F.round(F.col("sum") / grams, 6)).otherwise(F.lit(0.0))
@@ -76,7 +77,7 @@ def rate(docs: DataFrame, ratios: list[float], threshold: float) -> DataFrame:
         F.col("n").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
-        F.expr("cast(size(lines) - size(array_distinct(lines)) as long)").alias("n_dup_lines"),
+        F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (llr >= threshold)).alias("kept"),
