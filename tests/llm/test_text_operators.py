@@ -40,6 +40,18 @@ def test_quality_llr_separates(spark):
     assert sum(bad) / len(bad) < sum(good) / len(good)
 
 
+def test_quality_drops_most_bad_documents(spark):
+    rated = op2_quality_rules(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 0"), "doc_id").where("not base_failed")
+    bad = [r.kept for r in rated.collect()]
+    assert len(bad) > 20 and sum(bad) / len(bad) < 0.1
+
+
+def test_quality_cut():
+    assert quality.best_cut([(-0.4, 0, 3), (-0.2, 1, 2), (0.1, 50, 0), (0.3, 40, 1)]) == -0.05
+    assert quality.best_cut([(-0.1, 3, 0), (0.2, 5, 0)]) == -0.101
+    assert quality.best_cut([(-0.1, 0, 3)]) == quality.best_cut([]) == -float("inf")
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     rows = quality.score_quality(odd, labels).collect()
