@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE, WORD, checkpoint
+from gleaner.llm.common import SPACE, WORD, checkpoint, marked
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 BUCKETS = 1 << 14
@@ -116,20 +116,27 @@ def rate(docs: DataFrame, ratios: list[float], by_fold: list[float]) -> DataFram
     )
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, trusted: int = 20_000, threshold: float | None = None, buckets: int = BUCKETS) -> DataFrame:
+def width(n: int) -> int:
+    """Buckets for n documents: the power of two that holds n, 2^14 at least and 2^16 at most."""
+    return min(max(BUCKETS, 1 << max(n - 1, 1).bit_length()), 1 << 16)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
-    docs: doc_id, text; labels: doc_id, quality. The target multinomial comes from the texts of at most `trusted`
-    documents of quality 1 (those first by hash of their id, so the same ones on every run); the raw multinomial
-    counts every document. Both have a fixed number of buckets, so the ratios are a literal of bounded size.
+    docs: doc_id, text; labels: doc_id, quality. The target multinomial counts the texts of every document of quality
+    1, the raw multinomial every document. Both have as many buckets as `width` gives where `buckets` doesn't say, so
+    the ratios are a literal of bounded size.
     threshold: where it isn't given, labelled documents that pass the base rule decide (`best_cut`), each rated by a
     target of the other half of the documents, which its own text is no part of.
     Null and empty texts have no words and fail the base rule; without any trusted document all ratios are 0 and
     only the base rule decides. Repeated rows are rated each by itself.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = buckets or width(docs.count())
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
-    target = docs.join(F.broadcast(good), "doc_id", "left_semi")
+    # the marks spare the shuffle most texts that aren't trusted; the join is what decides
+    target = marked(docs, good, "maybe_good").where("maybe_good").select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi")
     rated = rate(docs, *models(bucket_counts(target, buckets, folds=True), bucket_counts(docs, buckets), buckets))
     if threshold is None:
         rated = checkpoint(rated)

@@ -46,6 +46,18 @@ def test_quality_drops_most_bad_documents(spark):
     assert len(bad) > 20 and sum(bad) / len(bad) < 0.1
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    n, seen = 27_000, []
+    monkeypatch.setattr(quality, "log_ratios", lambda t, r: seen.append((sum(t), sum(r))) or [0.0] * len(t))
+    docs = spark.range(n + 9000).selectExpr("id as doc_id", "concat('word', id, ' text') as text")
+    quality.score_quality(docs, spark.range(n).selectExpr("id as doc_id", "1 as quality"), threshold=0.0)
+    assert seen[0] == (3 * n, 3 * (n + 9000)) and seen[1][0] + seen[2][0] == 3 * n
+
+
+def test_quality_width():
+    assert [quality.width(n) for n in (0, 1, 16_384, 16_385, 40_000, 10**9)] == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 16, 1 << 16]
+
+
 def test_quality_cut():
     assert quality.best_cut([(-0.4, 0, 3), (-0.2, 1, 2), (0.1, 50, 0), (0.3, 40, 1)]) == -0.05
     assert quality.best_cut([(-0.1, 3, 0), (0.2, 5, 0)]) == -0.101
