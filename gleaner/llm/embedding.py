@@ -167,16 +167,38 @@ def _link_back(near: np.ndarray, x: np.ndarray, part: np.ndarray, most: int) ->
         near[h] = diverse(x, np.take_along_axis(cand, top, 1), np.take_along_axis(sims, top, 1), most)
 
 
-def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits: int = 96, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def _scan(x: np.ndarray, nodes: np.ndarray, q: np.ndarray, asked: np.ndarray, least: np.ndarray, block: int = 512) -> np.ndarray:
+    """(query, node) of all pairs of the asked queries and the nodes that are similar enough."""
+    out = [np.empty((0, 2), np.int64)]
+    for i in range(0, len(asked) if len(nodes) else 0, block):
+        t = asked[i : i + block]
+        r, c = np.nonzero(q[t] @ x[nodes].T >= least[t, None])
+        out.append(np.stack([t[r], nodes[c]], 1))
+    return np.concatenate(out)
+
+
+def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits: int = 96, block: int = 512, wanted: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all pairs with a similarity of `least` of the query or more, up to what the audits can't tell.
 
     A query whose beam holds nothing but hits is asked again with twice the beam; if an audited query misses a hit, all are.
+    Audits double until they hold `wanted` true hits; where all queries hold fewer, or must be audited to hold them, the
+    scan is the answer. Nodes that no neighbour list names can't be reached and are always scanned. Pairs may repeat.
     """
     n = len(graph.x)
-    asked = np.linspace(0, len(q) - 1, min(audits, len(q))).astype(int)
-    truth = (q[asked] @ graph.x.T) >= least[asked, None]
+    audits = min(audits, len(q))
+    while True:
+        asked = np.linspace(0, len(q) - 1, audits).astype(int)
+        truth = _scan(graph.x, np.arange(n), q, asked, least)
+        if audits == len(q):
+            return truth[:, 0], truth[:, 1]
+        if len(truth) >= wanted:
+            break
+        audits = min(2 * audits, len(q))
+    named = np.zeros(n + 1, bool)
+    named[graph.near[0][:n].ravel()] = True
+    lone = _scan(graph.x, np.flatnonzero(~named[:n]), q, np.arange(len(q)), least)
     while True:
-        found = [np.empty((0, 2), np.int64)]
+        found = [lone]
         todo, w = np.arange(len(q)), min(width, n)
         while len(todo):
             full = []
@@ -190,13 +212,7 @@ def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits
                 found.append(np.stack([t[r], ids[r, c]], 1))
             todo, w = np.concatenate(full), min(2 * w, n)
         pairs = np.concatenate(found)
-        got = np.zeros((len(q), n), bool) if len(q) * n < 2**26 else None
-        if got is not None:
-            got[pairs[:, 0], pairs[:, 1]] = True
-            missed = (truth & ~got[asked]).any()
-        else:
-            have = set(map(tuple, pairs[np.isin(pairs[:, 0], asked)].tolist()))
-            missed = any((int(asked[a]), int(b)) not in have for a, b in zip(*np.nonzero(truth)))
+        missed = not np.isin(truth @ [n, 1], pairs @ [n, 1]).all()
         if not missed or width >= n:
             return pairs[:, 0], pairs[:, 1]
         width *= 2
@@ -256,12 +272,18 @@ class Shard:
 def compare(a: Shard, b: Shard, same: bool, cosine: float):
     """(links of whole balls by label, links of single members by place, linked balls) between two shards, or within one."""
     angle = np.arccos(cosine)
-    reach = np.cos(np.minimum(angle + a.radius + b.radius.max(), np.pi)) - 1e-4
-    i, j = hits(b.graph, a.graph.x, reach)
+
+    def asks(one, two):
+        return hits(two.graph, one.graph.x, np.cos(np.minimum(angle + one.radius + two.radius.max(), np.pi)) - 1e-4)
+
+    i, j = asks(a, b)
     if same:
         lo, hi = np.minimum(i, j), np.maximum(i, j)
-        pairs = np.unique(np.stack([lo, hi], 1)[lo < hi], axis=0)
-        i, j = pairs[:, 0], pairs[:, 1]
+        i, j = lo[lo < hi], hi[lo < hi]
+    else:
+        j2, i2 = asks(b, a)
+        i, j = np.concatenate([i, i2]), np.concatenate([j, j2])
+    i, j = np.divmod(np.unique(i.astype(np.int64) * len(b.nodes) + j), len(b.nodes))
     na, nb = a.nodes[i], b.nodes[j]
     between = np.concatenate([np.arccos(np.clip(np.einsum("nd,nd->n", a.v[na[k : k + 65536]], b.v[nb[k : k + 65536]]) / (a.norm[na[k : k + 65536]] * b.norm[nb[k : k + 65536]]), -1, 1)) for k in range(0, len(i), 65536)] or [np.empty(0)])
     around = a.radius[i] + b.radius[j]
@@ -321,7 +343,8 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 4
     vectors: vec_id (long) and embedding (array of numbers); others are ignored. Vectors with a cosine of `cosine`
     or more link; those that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths. A null vec_id is a row without links. Repeated rows are vectors of their own.
-    Exact within what the audits let pass: recall is held against a scan for 96 queries of every pair of shards.
+    Exact within what the audits let pass: either shard of a pair is searched with the nodes of the other, and recall is
+    held against a scan for 96 queries or as many more as hold 64 true hits; pairs of shards with fewer are scanned.
     """
     spark = vectors.sparkSession
     all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))

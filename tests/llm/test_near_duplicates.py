@@ -140,3 +140,45 @@ def test_graph_recall():
     best = np.take_along_axis(ids, np.argsort(-sims, axis=1)[:, :10], 1)
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(truth.tolist(), best.tolist())])
     assert recall >= 0.9
+
+
+def _pairs(graph, q, **more):
+    return set(zip(*(x.tolist() for x in embedding.hits(graph, q, np.full(len(q), 0.9), **more))))
+
+
+def _unit(rng, n):
+    x = rng.normal(size=(n, 24)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_nodes_that_no_list_names_are_found():
+    x = _unit(np.random.default_rng(4), 400)
+    graph, _ = embedding.build(np.append(x, np.zeros((1, 24), np.float32), 0)[:-1], 2.0)
+    lone = next(i for i in range(1, 400) if i != graph.top and i % 4)
+    for near in graph.near:
+        near[near == lone] = -1
+    assert _pairs(graph, x, wanted=1) == {(i, i) for i in range(400)}
+
+
+def test_few_links_are_not_left_to_chance():
+    """Two halves without a link between them; only a query that no evenly spaced audit takes has a partner, in the half out of reach."""
+    rng = np.random.default_rng(5)
+    x, q = _unit(rng, 400), _unit(rng, 1000)
+    graph, _ = embedding.build(x, 2.0)
+    side = (np.arange(401) < 200) == (graph.top < 200)
+    for near in graph.near:
+        near[side[:, None] != side[near]] = -1
+    far = int(np.flatnonzero(~side[:400])[5])
+    q[1] = x[far]
+    assert (1, far) in _pairs(graph, q)
+
+
+def test_shards_are_searched_both_ways(monkeypatch):
+    import pandas as pd
+
+    x = _unit(np.random.default_rng(6), 300)
+    a, b = (embedding.Shard(embedding._built(0.9)(pd.DataFrame({"vec_id": np.arange(300) + 1000 * s, "embedding": list(x), "dim": 24, "shard": s})).blob[0]) for s in (0, 1))
+    real = embedding.hits
+    monkeypatch.setattr(embedding, "hits", lambda graph, q, least: (np.empty(0, int), np.empty(0, int)) if graph is b.graph else real(graph, q, least))
+    (_, _), (ma, mb), linked = embedding.compare(a, b, False, 0.9)
+    assert ma.sum() == mb.sum() == len(linked) == 300
