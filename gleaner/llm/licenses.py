@@ -2,8 +2,9 @@
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and all characters beyond ASCII; the
 automaton runs over the words joined with single spaces, so a phrase matches wherever its words stand
-consecutively, whatever stands between them. Where an SPDX tag or a `license:` field is followed by a licence
-expression (and / or / with, parentheses), the expression is parsed and its identifiers become labels.
+consecutively, whatever stands between them. Where an SPDX-License-Identifier or license-expression tag is followed
+by a licence expression (and / or / with, parentheses), the expression is parsed and its identifiers of the known
+families become labels; others give none. A plain `license:` field isn't read.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Patterns find candidates and their places. Candidate values of any shape are hashed and counted by the distinct
-documents and owners (sources) that hold them: a value seen with many owners is a copied example, one that stays
-with a single owner and looks random is a live-looking credential. The base spans are reported whatever their
+owners (sources) that hold them: a value seen with many owners is a copied example, one that stays with fewer is a
+live-looking credential. Neither the number of documents nor the randomness of a value enters the verdict; `docs`
+counts the spans of a value, so a document that holds it several times, or in several shapes, counts each. The base spans are reported whatever their
 verdict; the ownership counts decide about the spans that the method adds.
 """
 
