@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -18,15 +20,78 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets a folder of its own; a cluster, whose machines couldn't see that, an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="gleaner-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage with files in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores appended until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def learned(rows: DataFrame, each: int, fit, most_bytes: int = 48_000_000):
+    """What fit(texts, labels) returns for the first rows of a bounded sample; None without rows, or where fit gives None.
+
+    rows: text, label, and any columns that order them. The fitting is done in one task on an executor, which takes up to
+    `each` whole texts of every label in that order, passing over those that would make all more than most_bytes (the first of
+    a label is always taken). Only the model comes back to the driver.
+    """
+    text, label, *order = rows.columns
+
+    def run(batches):
+        import pandas as pd
+
+        texts, labels, total, have = [], [], 0, Counter()
+        for pdf in batches:
+            for t, x in zip(pdf[text], pdf[label].tolist()):
+                t = t.encode()
+                if have[x] < each and (total + len(t) <= most_bytes or not have[x]):
+                    texts.append(t), labels.append(x)
+                    total += len(t)
+                    have[x] += 1
+        model = fit(texts, labels) if texts else None
+        yield pd.DataFrame({"model": [] if model is None else [pickle.dumps(model)]})
+
+    got = rows.repartition(1).sortWithinPartitions(*order).select(text, label).mapInPandas(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else None
+
+
+def join_frequent(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner", most: int = 20_000) -> DataFrame:
+    """rows joined (inner or left) with keyed, which has one row a key and in `count` how many of the `total` rows have it.
+
+    A key may be as frequent as it likes: those of more than a `most`-th of all rows, of which there are fewer than `most`
+    whatever the data, are broadcast, and only rows of the others are shuffled.
+    """
+    (hot,) = unused(rows, "hot")
+    limit = max(1, total // most)
+    names = [c for c in keyed.columns if c not in (key, count)]
+    often = keyed.where(F.col(count) > limit).select(key, F.struct(*names).alias(hot))
+    seen = rows.join(F.broadcast(often), key, "left")
+    by_broadcast = seen.where(F.col(hot).isNotNull()).select(*rows.columns, *(F.col(f"{hot}.{c}") for c in names))
+    by_shuffle = seen.where(F.col(hot).isNull()).select(*rows.columns).join(keyed.where(F.col(count) <= limit).select(key, *names), key, how)
+    return by_broadcast.union(by_shuffle.select(*rows.columns, *names))
+
+
 def learns(remainder: int, modulus: int, holds: bool):
     """Rows whose crc32 of the decimal doc_id leaves (or, with holds False, does not leave) the remainder."""
     left = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
@@ -63,15 +128,17 @@ def as_bytes(column) -> list[bytes | None]:
 
 
 def marked(rows: DataFrame, named: DataFrame, name: str, key: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
-    """The rows with a boolean column `name`: false only where the key isn't among those of `named`.
+    """The rows with a boolean column `name`: false only where the key (one column or several, with commas) isn't among those of `named`.
 
     The keys of `named` set bits in a table of fixed width, at most bits / 64 words, which is what is broadcast. A
     join of the marked rows alone then shuffles the few rows that it may keep instead of all of them.
     """
+    s, w, b = unused(rows, "s", "w", "b")
     slot = f"pmod(xxhash64({key}), {bits}L)"
-    words = named.select(F.expr(slot).alias("_s")).distinct().groupBy(F.expr("shiftright(_s, 6)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_b"))
-    looked = rows.withColumn("_s", F.expr(slot)).join(F.broadcast(words), F.expr("shiftright(_s, 6) = _w"), "left")
-    return looked.select(*rows.columns, F.expr("coalesce(shiftright(_b, cast(_s & 63 as int)) & 1, 0) = 1").alias(name))
+    slots = named.select(F.expr(slot).alias(s)).distinct()
+    words = slots.groupBy(F.shiftright(s, 6).alias(w)).agg(F.expr(f"bit_or(shiftleft(1L, cast({s} & 63 as int)))").alias(b))
+    looked = rows.withColumn(s, F.expr(slot)).join(F.broadcast(words), F.expr(f"shiftright({s}, 6) = {w}"), "left")
+    return looked.select(*rows.columns, F.expr(f"coalesce(shiftright({b}, cast({s} & 63 as int)) & 1, 0) = 1").alias(name))
 
 
 def _united(batches):

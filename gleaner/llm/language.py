@@ -12,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import as_bytes, learns
+from gleaner.llm.common import as_bytes, learned, learns
 
 LENGTHS, SLOTS = (1, 2, 3), (256, 8192, 16384)
 WIDTH = sum(SLOTS)
@@ -98,22 +98,33 @@ def _rated(model: Model | None):
     return run
 
 
-def train(docs: DataFrame, sample: int = 3000, most_chars: int = 20_000) -> Model | None:
-    """The model from a bounded sample of the learning rows: the first `sample` by hash of id, balanced by language.
+def train(docs: DataFrame, sample: int = 3000, usual: tuple[int, int] = (20, 20_000), most_languages: int = 1000) -> Model | None:
+    """The model from a bounded sample of the learning rows, balanced by language; None if there is no learning row.
 
-    Learning texts beyond most_chars characters are cut (scored ones never are). None if there is no learning row.
+    sample: learning rows of all languages together, but 8 a language at least; they are the first by hash of id and text,
+    those with a usual number of characters before others, and every one is read whole. Where they would be more than 48 MB
+    together, longer ones give way to later ones. Rows that repeat id, language and text count once.
+    most_languages: bound of what a model holds; more learning languages raise an error, as none may be left out.
+    Candidates for the sample are the rows whose hash lies under their language's threshold, which holds about twice as many
+    as are wanted, so no task gets all rows of a language.
     """
-    rows = docs.where(learns(2, 4, False)).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") >= 20))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, most_chars).alias("text"))
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    rows = docs.where(learns(2, 4, False)).where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.select("*", F.expr("cast(char_length(text) not between {} and {} as int)".format(*usual)).alias("odd"), F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
+    found = rows.groupBy("lang", "odd").agg(F.count("*").alias("n"), F.min("h").alias("low")).limit(2 * most_languages + 2).collect()
+    names = sorted({r.lang for r in found})
+    if len(names) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
     if not names:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    chosen = rows.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(8, sample // len(names)))
-    few = F.broadcast(chosen.select("doc_id", "lang").distinct())  # at most `sample` ids, or 8 a language
-    got = rows.join(few, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: (r.lang, r.doc_id))
-    return fit([r.text.encode() for r in got], [r.lang for r in got])
+    want, under, have = max(8, sample // len(names)), [], {r.lang: r.n for r in found if not r.odd}
+    for r in found:
+        need = want - (have.get(r.lang, 0) if r.odd else 0)
+        if need > 0:
+            share = min(1.0, (2 * need + 50) / r.n)
+            under.append((r.lang, r.odd, max(r.low, min(int(share * 2**64) - 2**63, 2**63 - 1))))
+    limits = docs.sparkSession.createDataFrame(under, "lang string, odd int, most long")
+    some = rows.join(F.broadcast(limits), ["lang", "odd"]).where("h <= most").groupBy("lang", "doc_id", "h", "odd").agg(F.min("text").alias("text"))
+    return learned(some.select("text", "lang", "odd", "h", "doc_id"), want, fit)
 
 
 def label(docs: DataFrame, model: Model | None) -> DataFrame:
