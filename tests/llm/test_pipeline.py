@@ -32,7 +32,7 @@ def test_language_stage_keeps_every_text_with_a_letter(stages):
 
 
 def test_one_document_of_each_group_stays(stages):
-    _, root = brute({r.doc_id: r.text for r in stages["language_id"]})
+    _, root = brute({r.doc_id: r.text for r in stages["language_id"]}, percent=80)
     assert sorted(r.doc_id for r in stages["near_dedup"]) == sorted(i for i, x in root.items() if i == x)
 
 
