@@ -1,65 +1,5 @@
-"""A corpus pipeline of five of the training-data operators.
+"""The corpus pipeline: STAGES, run(spark, sf_dir) and ORACLE_SQL; gleaner/llm/pipeline.py holds them."""
 
-Each stage takes what its predecessor kept. All stages but the last return the columns of documents.
-"""
+from gleaner.llm.pipeline import COLUMNS, ORACLE_SQL, REDACTED, STAGES, run
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gleaner.llm import language, minhash, mixing, packing, queries, secrets
-from gleaner.llm.common import checkpoint, marked
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-REDACTED = "[REDACTED]"
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, or no letter at all) go; the prediction replaces a missing label."""
-    said = language.label(docs, language.train(docs))
-    kept = said.where(F.col("lang_pred") != language.UNKNOWN)
-    return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    dropped = checkpoint(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    seen = marked(docs.select(*COLUMNS), dropped, "maybe_dropped")
-    kept = seen.where("maybe_dropped").join(dropped, "doc_id", "left_anti")
-    return seen.where("not maybe_dropped").select(*COLUMNS).union(kept.select(*COLUMNS))
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark."""
-    return secrets.redact(docs, REDACTED).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs.select(*COLUMNS))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences that the documents are packed into."""
-    return packing.pack(docs, queries.ranks_path())
-
-
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("source_mix", source_mix), ("packing", pack)]
-
-# The stages train a model, estimate similarities and tokenise: SQL can't express them; tests/llm holds the rows against a brute-force run.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "REDACTED", "STAGES", "run"]
