@@ -22,25 +22,32 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 SEPARATOR, SPECIAL = 0, "<|endoftext|>"
 
 
-def encoder(ranks_path: str):
+def encoder(ranks_path: str, json_path: str):
     """text -> ids of the byte-level BPE vocabulary, with the document separator appended.
 
-    The rank file holds the same vocabulary and merges as the JSON file of the tokenizers library and gives the
-    same ids (tests/llm compares them) four times as fast. The special token's string in a text becomes its id.
+    json_path is the vocabulary of the tokenizers library, whose ids are the right ones. The rank file holds the same
+    vocabulary and merges and gives the same ids (tests/llm compares them) four times as fast, but can fail: its pattern
+    matcher runs out of stack on very long runs of blanks. Such texts go through the JSON file, which is only opened for them.
+    The special token's string in a text becomes its id.
     """
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     code = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+    slow: list[Tokenizer] = []
 
     def encode(text: str | None) -> np.ndarray:
-        ids = code.encode(text, allowed_special={SPECIAL}, disallowed_special=()) if text else []
-        ids.append(SEPARATOR)
-        return np.array(ids, "<u4")
+        try:
+            ids = code.encode(text, allowed_special={SPECIAL}, disallowed_special=()) if text else []
+        except ValueError:
+            slow[:] = slow or [Tokenizer.from_file(json_path)]
+            ids = slow[0].encode(text, add_special_tokens=False).ids
+        return np.array([*ids, SEPARATOR], "<u4")
 
     return encode
 
@@ -134,12 +141,12 @@ def merged(windows: list[tuple], size: int) -> list[tuple]:
     return [tuple(w) for w in out]
 
 
-def _packed(ranks_path: str, size: int, open_windows: int, least_cut: int):
+def _packed(ranks_path: str, json_path: str, size: int, open_windows: int, least_cut: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, windows, base = encoder(ranks_path), Windows(size, open_windows, least_cut), TaskContext.get().partitionId() << 32
+        encode, windows, base = encoder(ranks_path, json_path), Windows(size, open_windows, least_cut), TaskContext.get().partitionId() << 32
 
         def rows(closed, rest):
             flat = [(d, s, n, c, t, base + number, o) for number, pieces in closed for d, s, n, c, t, o in pieces]
@@ -173,9 +180,10 @@ def _joined(size: int):
     return run
 
 
-def pack(docs: DataFrame, ranks_path: str, size: int = 1024, open_windows: int = 64, least_cut: int = 16, group: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, json_path: str, size: int = 1024, open_windows: int = 64, least_cut: int = 16, group: int = 4096) -> DataFrame:
     """One row per piece of a document (columns: COLUMNS).
 
+    ranks_path and json_path: the vocabulary as a rank file and as the JSON file of the tokenizers library (`encoder`).
     docs: doc_id and text; others are ignored. A null text counts as empty, so every row has at least the
     separator; rows with the same doc_id are packed each by itself, a null doc_id stays null. A sequence has at
     most `size` ids, offsets in it run gapless from 0, and the sequence ids are unique, not dense.
@@ -183,7 +191,7 @@ def pack(docs: DataFrame, ranks_path: str, size: int = 1024, open_windows: int =
     a few rows from each, so that step stays bounded however many partitions there are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = checkpoint(docs.mapInArrow(_packed(ranks_path, size, open_windows, least_cut), COLUMNS + ", open boolean"))
+    pieces = checkpoint(docs.mapInArrow(_packed(ranks_path, json_path, size, open_windows, least_cut), COLUMNS + ", open boolean"))
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     partition = F.shiftright("sequence_id", 32)
     last = pieces.where("open").withColumn("g", F.floor(partition / group)).groupBy("g").applyInPandas(_joined(size), COLUMNS)

@@ -13,10 +13,11 @@ from gleaner.llm.common import read
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
-def ranks_path() -> str:
+def vocabulary() -> tuple[str, str]:
+    """Paths of the rank file and of the JSON file of the vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), ranks_path())
+    return packing.pack(read(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
