@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm import mixing, packing, sharding
-from gleaner.llm.queries import SHARDS, op7_source_mixing, op8_sharding, ranks_path
+from gleaner.llm.queries import SHARDS, op7_source_mixing, op8_sharding, vocabulary
 
 DATA = "/root/testdata/sf0.01"
 
@@ -59,6 +59,30 @@ def test_mixed_documents(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_takes_equal_rows_in_part(spark):
+    """1000 equal rows make one block of one place; the other source weighs less, so more of them are wanted than there are."""
+    rows = [(1, "one two three", "a")] * 1000 + [(k, "four five six", "b") for k in range(10, 1010)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    assert all(r.n == 1000 and abs(r.taken - r.target) <= 2 for r in got)
+
+
+def test_mix_with_names_that_clash(spark):
+    clash = "k s n part whole stop to goal goal_size takes ties own salt number copy shard order size place source_size target copies taken shards _block _copy".split()
+    docs = spark.createDataFrame([(1, "one two three", "a"), (1, "one two three", "a"), (2, "four", None), (None, None, "b")], "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.lit("mine").alias(c) for c in clash))
+    rows = mixing.mixed_documents(docs).collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in clash) and list(rows[0].asDict()) == docs.columns
+    assert mixing.mix(docs).count() == 4
+    with pytest.raises(ValueError):
+        mixing.mix(docs, most_sources=2)
+
+
+def test_block_numbers():
+    assert mixing.block_numbers({}) == {} and mixing.block_numbers({"a": 5, None: 30_000}) == {"a": 256, None: 256}
+    assert mixing.block_numbers({"a": 40_000_000, "b": 1}) == {"a": 2000, "b": 256}
+    assert sum(mixing.block_numbers({k: 10**9 for k in range(1000)}).values()) < 400_000
+
+
 def test_lookup_table():
     table = sharding.lookup_table([f"s{i}" for i in range(7)], 211)
     counts = Counter(table)
@@ -133,15 +157,31 @@ def check_packing(rows, texts):
 
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(6)
-    density = check_packing(packing.pack(docs, ranks_path()).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    density = check_packing(packing.pack(docs, *vocabulary()).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     assert density > 0.97
 
 
 def test_packing_odd_rows(spark, odd, none):
     special = spark.createDataFrame([(90, "a <|endoftext|> b", ), (91, "  tabs\t\t  <|endoftext|>")], "doc_id long, text string")
     docs = odd.select("doc_id", "text").union(special)
-    check_packing(packing.pack(docs, ranks_path()).collect(), [(r.doc_id, r.text) for r in docs.collect()])
-    assert packing.pack(none, ranks_path()).count() == 0
+    check_packing(packing.pack(docs, *vocabulary()).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    assert packing.pack(none, *vocabulary()).count() == 0
+
+
+def test_packing_long_runs(spark):
+    """Texts on which the rank file's pattern matcher gives up, or might."""
+    docs = [(1, " " * 1_000_000), (2, "x" + " " * 300_000 + "y"), (3, "\n" * 200_000), (4, "a" * 100_000), (5, "\u3000" * 50_000), (6, "<|endoftext|>" * 1000 + "\t" * 400_000)]
+    check_packing(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), *vocabulary()).collect(), docs)
+
+
+def test_fullest_window_goes_first():
+    w = packing.Windows(100, 2, 30)
+    assert not [*w.add(np.arange(60, dtype="<u4"), 1), *w.add(np.arange(80, dtype="<u4"), 2)]
+    closed = list(w.add(np.arange(50, dtype="<u4"), 3))  # fits neither; the fullest has room for 20, too few for a cut
+    assert [[(p[0], p[2]) for p in pieces] for _, pieces in closed] == [[(2, 80)]]
+    assert sorted(room for room, _ in w.rooms) == [40, 50]
+    closed = list(w.add(np.arange(70, dtype="<u4"), 4))  # now 40 of it fill the fullest up
+    assert [[(p[0], p[1], p[2], p[5]) for p in pieces] for _, pieces in closed] == [[(1, 0, 60, 0), (4, 0, 40, 60)]]
 
 
 def test_windows_stay_bounded():
