@@ -2,14 +2,18 @@
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and all characters beyond ASCII; the
 automaton runs over the words joined with single spaces, so a phrase matches wherever its words stand
-consecutively, whatever stands between them. Where an SPDX-License-Identifier or license-expression tag is followed
-by a licence expression (and / or / with, parentheses), the expression is parsed and its identifiers of the known
-families become labels; others give none. A plain `license:` field isn't read.
+consecutively, whatever stands between them. A second automaton finds the tags (SPDX-License-Identifier,
+license-expression, license) in the text as it stands; where a colon or an equals sign and a licence expression (and / or /
+with, parentheses) follow, the expression is parsed and its identifiers of the known families become labels; others
+give none. What follows a plain `license:` counts only if it names a known family.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -39,26 +43,40 @@ NOTICES = {
     "all rights reserved": "proprietary",
     "public domain": "public-domain",
     "the unlicense": "unlicense",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "artistic license": "artistic",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "open database license": "odbl",
+    "zlib license": "zlib",
+    "do what the fuck you want to public license": "wtfpl",
 }
-# Identifiers that an expression may name, by family: prefix of the lower-cased identifier -> (label, permissive).
+# Families of identifiers that an expression may name: start of the lower-cased identifier, up to a hyphen -> (label, permissive).
 IDENTIFIERS = {
-    "agpl-": ("agpl", False), "lgpl-": ("lgpl", False), "gpl-": ("gpl", False), "mpl-": ("mpl", False), "epl-": ("epl", False),
-    "apache-": ("apache", True), "bsd-": ("bsd", True), "mit": ("mit", True), "isc": ("isc", True), "0bsd": ("bsd", True), "zlib": ("zlib", True),
-    "cc0-": ("cc0", True), "cc-by-nc": ("cc-by-nc", False), "cc-by-sa": ("cc-by-sa", False), "cc-by-nd": ("cc-by-nd", False), "cc-by-": ("cc-by", True),
-    "unlicense": ("unlicense", True), "bsl-": ("bsl", True), "python-": ("psf", True),
+    "agpl": ("agpl", False), "lgpl": ("lgpl", False), "gpl": ("gpl", False), "mpl": ("mpl", False), "epl": ("epl", False),
+    "eupl": ("eupl", False), "cddl": ("cddl", False), "osl": ("osl", False), "cecill": ("cecill", False), "odbl": ("odbl", False),
+    "apache": ("apache", True), "bsd": ("bsd", True), "0bsd": ("bsd", True), "mit": ("mit", True), "isc": ("isc", True), "zlib": ("zlib", True),
+    "cc0": ("cc0", True), "cc-by-nc-sa": ("cc-by-nc-sa", False), "cc-by-nc-nd": ("cc-by-nc-nd", False), "cc-by-nc": ("cc-by-nc", False),
+    "cc-by-sa": ("cc-by-sa", False), "cc-by-nd": ("cc-by-nd", False), "cc-by": ("cc-by", True), "unlicense": ("unlicense", True),
+    "bsl": ("bsl", True), "python": ("psf", True), "psf": ("psf", True), "artistic": ("artistic", True), "ofl": ("ofl", True), "wtfpl": ("wtfpl", True),
+    "postgresql": ("postgresql", True), "ncsa": ("ncsa", True), "x11": ("x11", True), "ms-pl": ("ms-pl", True), "blueoak": ("blueoak", True), "odc-by": ("odc-by", True),
 }
-TAGS = ("spdx license identifier", "license expression")
+FIELD = b"license"
+TAGS = (b"spdx-license-identifier", b"license-expression", b"license expression", FIELD)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_TAG = re.compile(rb"(?i)(?:spdx-license-identifier|license[- ]expression)[ \t]*[:=][ \t]*[\"']?([^\r\n\"'<>]*)")
+# An expression ends where a character stands that none has, the next tag's colon for one, so that no text is read often.
+_AFTER = re.compile(rb"[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9.+() \t-]*)")
 _PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
 def family(identifier: str) -> tuple[str, bool] | None:
     name = identifier.lower()
-    for prefix, found in IDENTIFIERS.items():
-        if name == prefix or name.startswith(prefix):
-            return found
+    while name:
+        if name in IDENTIFIERS:
+            return IDENTIFIERS[name]
+        name = name.rpartition("-")[0]
     return None
 
 
@@ -93,6 +111,7 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + ops[::-1]
 
 
+@lru_cache(maxsize=10_000)
 def evaluate(expression: str) -> tuple[set[str], bool] | None:
     """(labels of the known identifiers, whether the expression as a whole can be met by permissive licences), or None.
 
@@ -116,39 +135,55 @@ def evaluate(expression: str) -> tuple[set[str], bool] | None:
 
 
 def automaton():
+    """(the automaton of phrases, over joined words; that of tags, over raw text)."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for phrase, label in {**NOTICES, **{t: None for t in TAGS}, **BASE}.items():
-        found.add_word(f" {phrase} ", (phrase, label))
-    found.make_automaton()
-    return found
+    phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for phrase, label in {**NOTICES, "license": None, **BASE}.items():
+        phrases.add_word(f" {phrase} ", (phrase, label))
+    for tag in TAGS:
+        tags.add_word(tag.decode(), tag)
+    phrases.make_automaton()
+    tags.make_automaton()
+    return phrases, tags
+
+
+def expressions(text: bytes, tags) -> list[str]:
+    """The licence expressions that follow tags."""
+    out, low = [], text.lower()
+    for end, tag in tags.iter(low.decode("latin-1")):
+        begin = end + 1 - len(tag)
+        if begin and low[begin - 1 : begin].isalnum():
+            continue
+        if (found := _AFTER.match(text, end + 1)) and (value := evaluate(source := found[1].decode().strip())):
+            if value[0] or tag != FIELD:
+                out.append(source)
+    return out
 
 
 def scan(text: bytes | None, machine) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, expression, permissive) of one text."""
+    phrases, tags = machine
     words = text.translate(_TABLE).split() if text else []
     # the automaton's matches overlap by the space between neighbours, so every space stands once and is shared
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
-    starts, base, labels, tagged, notices = [], set(), set(), False, 0
-    for end, (phrase, label) in machine.iter(joined) if words else ():
+    begins, starts, base, labels, tagged, notices = None, [], set(), set(), False, 0
+    for end, (phrase, label) in phrases.iter(joined) if words else ():
         if label is None:
             tagged = True
             continue
         labels.add(label)
         notices += 1
         if phrase in BASE:
+            begins = begins or list(accumulate((len(w) + 1 for w in words), initial=1))
             base.add(label)
-            starts.append(joined.count(" ", 0, end - len(phrase)) - 1)
-    expression, permissive = None, None
-    if tagged:
-        for found in _TAG.findall(text):
-            source = found.decode("utf-8", "replace").strip()
-            if value := evaluate(source):
-                expression, permissive = expression or source, value[1] if permissive is None else permissive and value[1]
-                labels |= value[0]
-    score = 1 - 0.5**notices * (0.1 if expression else 1)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, expression, permissive
+            starts.append(bisect_left(begins, end - len(phrase)))
+    found = expressions(text, tags) if tagged else []
+    values = [evaluate(x) for x in found]
+    labels.update(*(v[0] for v in values))
+    permissive = all(v[1] for v in values) if values else None
+    score = 1 - 0.5**notices * (0.1 if values else 1)
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, found[0] if found else None, permissive
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, permissive boolean"
