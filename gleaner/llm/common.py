@@ -92,6 +92,24 @@ def join_frequent(rows: DataFrame, keyed: DataFrame, key: str, count: str, total
     return by_broadcast.union(by_shuffle.select(*rows.columns, *names))
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL: body with value, evaluated once, under a name. A column would not do: a later filter on a result may put the column's expression back into a lambda, where every element evaluates it anew."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(values: str, join: str = "{} + {}", span: int = 256) -> str:
+    """SQL: running sums (or maxima, with join 'greatest({}, {})') of an array of ints that aren't negative.
+
+    An array grows by copying, so it's done in spans, then over the spans' totals: time is in proportion to length for all
+    but extreme lengths.
+    """
+    none, at = "cast(array() as array<int>)", "coalesce(try_element_at(a, -1), 0)"
+    spans = f"transform(sequence(0, greatest(size(v) - 1, 0) div {span}), k -> aggregate(slice(v, {span} * k + 1, {span}), {none}, (a, x) -> concat(a, array(cast({join.format(at, 'x')} as int)))))"
+    starts = f"aggregate(p, array(0), (b, y) -> concat(b, array(cast({join.format('element_at(b, -1)', 'coalesce(try_element_at(y, -1), 0)')} as int))))"
+    whole = f"flatten(transform(p, (y, k) -> transform(y, x -> cast({join.format('o[k]', 'x')} as int))))"
+    return let(values, "v", let(spans, "p", let(starts, "o", whole)))
+
+
 def learns(remainder: int, modulus: int, holds: bool):
     """Rows whose crc32 of the decimal doc_id leaves (or, with holds False, does not leave) the remainder."""
     left = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE, WORD, checkpoint, marked
+from gleaner.llm.common import SPACE, WORD, checkpoint, let, marked
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 BUCKETS = 1 << 14
@@ -25,11 +25,6 @@ def _words(text: str = "text") -> str:
     return rf"array_remove(split(coalesce({text}, ''), r'{SPACE}', -1), '')"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """body with value, evaluated once, under a name. A column would not do: a later filter on a result may put the column's expression back into a lambda, where every element evaluates it anew."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _grams(words: str, buckets: int) -> str:
     """Bucket numbers of the words and the pairs of neighbours."""
     one = f"transform({words}, v -> cast(pmod(xxhash64(v), {buckets}) as int))"
@@ -39,7 +34,7 @@ def _grams(words: str, buckets: int) -> str:
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, folds: bool = False) -> DataFrame:
     """bucket, n: n-grams of all texts by bucket, with folds also f0, f1: those of either half of the documents; partial sums leave at most `buckets` rows of a task to shuffle."""
-    grams = docs.select(F.expr(FOLD).alias("fold"), F.explode(F.expr(_let(_words(), "w", _grams("w", buckets)))).alias("bucket"))
+    grams = docs.select(F.expr(FOLD).alias("fold"), F.explode(F.expr(let(_words(), "w", _grams("w", buckets)))).alias("bucket"))
     halves = [F.count_if(F.col("fold") == k).alias(f"f{k}") for k in (0, 1)] if folds else []
     return grams.groupBy("bucket").agg(F.count("*").alias("n"), *halves)
 
@@ -92,13 +87,13 @@ def rate(docs: DataFrame, ratios: list[float], by_fold: list[float]) -> DataFram
     sorted_ = "array_sort(transform(h, (x, i) -> named_struct('h', x, 'i', i)))"
     at = "array_sort(transform(filter(t, (x, k) -> x.h = get(t, k - 1).h or x.h = get(t, k + 1).h), x -> x.i))"
     covered = f"aggregate({at}, named_struct('n', 0, 'end', 0), (a, i) -> named_struct('n', a.n + i + 8 - greatest(a.end, i), 'end', i + 8), a -> a.n)"
-    repeated = f"if(size(array_distinct(h)) < size(h), {_let(sorted_, 't', covered)}, 0)"
+    repeated = f"if(size(array_distinct(h)) < size(h), {let(sorted_, 't', covered)}, 0)"
     windows = "if(size(w) < 8, cast(array() as array<bigint>), transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8))))"
-    counts = f"""named_struct('n', size(w), 'word_chars', char_length(array_join(w, '')), 'repeated', {_let(windows, 'h', repeated)},
-        'sum', {_let(_grams('w', buckets), 'g', sums)})"""
+    counts = f"""named_struct('n', size(w), 'word_chars', char_length(array_join(w, '')), 'repeated', {let(windows, 'h', repeated)},
+        'sum', {let(_grams('w', buckets), 'g', sums)})"""
     lines = rf"filter(split(text, '\n', -1), x -> x rlike r'{WORD}')"
     d = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text", f"{FOLD} fold")
-    d = d.select("doc_id", F.expr(_let(_words(), "w", counts)).alias("c"), F.expr("regexp_count(text, r'[#*$%&|<>]')").alias("n_symbols"), F.expr(_let(lines, "l", "size(l) - size(array_distinct(l))")).alias("n_dup_lines"))
+    d = d.select("doc_id", F.expr(let(_words(), "w", counts)).alias("c"), F.expr("regexp_count(text, r'[#*$%&|<>]')").alias("n_symbols"), F.expr(let(lines, "l", "size(l) - size(array_distinct(l))")).alias("n_dup_lines"))
     d = d.select("doc_id", "c.n", "c.word_chars", "n_symbols", "n_dup_lines", F.expr("cast(c.repeated as long)").alias("n_repeat_words"), "c.sum")
     failed = F.expr("n < 20 or 100 * n_repeat_words > 30 * n")
     grams = F.expr("2 * n - 1")
