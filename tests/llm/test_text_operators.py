@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import language, licenses, quality, secrets, toxicity
 from gleaner.llm.queries import op2_quality_rules, op5_language_id, op10_toxicity
@@ -54,6 +55,38 @@ def test_quality_counts_every_trusted_document(spark, monkeypatch):
     assert seen[0] == (3 * n, 3 * (n + 9000)) and seen[1][0] + seen[2][0] == 3 * n
 
 
+def brute_quality(docs, good, width):
+    """llr of every text by plain counting, with Spark's own hash."""
+    import math
+
+    import xxhash
+
+    def buckets(text):
+        w = [x.encode() for x in WORD.findall(text or "")]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        two = [xxhash.xxh64_intdigest(b, a) for a, b in zip(one, w[1:])]
+        return [(h - 2**64 if h >= 2**63 else h) % width for h in one + two]
+
+    found = [(i, buckets(t)) for i, t in docs]
+    raw, target = [0] * width, [0] * width
+    for i, b in found:
+        for k in b:
+            raw[k] += 1
+            target[k] += i in good
+    prior = [(r + 1) / (sum(raw) + width) for r in raw]
+    ratio = [math.log((t + width * p) / (sum(target) + width) / p) for t, p in zip(target, prior)]
+    return {i: sum(ratio[k] for k in b) / len(b) if b else 0.0 for i, b in found}
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    want = brute_quality([(r.doc_id, r.text) for r in docs.collect()], good, 1 << 14)
+    rows = quality.score_quality(docs, labels, threshold=-0.05).collect()
+    assert all(abs(r.llr - want[r.doc_id]) < 2e-6 for r in rows) and len(rows) == len(want)
+    assert all(r.kept == (not r.base_failed and r.llr >= -0.05) for r in rows)
+
+
 def test_quality_width():
     assert [quality.width(n) for n in (0, 1, 16_384, 16_385, 40_000, 10**9)] == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 16, 1 << 16]
 
@@ -113,6 +146,53 @@ def test_license_expressions_that_fail(source):
     assert licenses.evaluate(source) is None
 
 
+@pytest.mark.parametrize("name, label", [("mitsubishi", None), ("MITRE-x", None), ("MIT-0", "mit"), ("isc", "isc"), ("GPL", "gpl"), ("CC-BY-NC-SA-4.0", "cc-by-nc-sa"), ("cc-bypass", None), ("Apachelike", None)])
+def test_license_families(name, label):
+    assert (licenses.family(name) or (None,))[0] == label
+
+
+def brute_licenses(text):
+    """(labels, score, expression, permissive), phrase by phrase and tag by tag."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = LWORD.findall(low)
+    labels, notices, found = set(), 0, []
+    for phrase, label in {**licenses.NOTICES, **licenses.BASE}.items():
+        p = phrase.split()
+        n = sum(w[i : i + len(p)] == p for i in range(len(w)))
+        notices += n
+        labels |= {label} if n else set()
+    for m in re.finditer(r"(?<![a-z0-9])(?=(?:spdx-license-identifier|license[- ]expression|(license))[\"']?[ \t]*[:=][ \t]*[\"']?([a-z0-9.+() \t-]*))", low):
+        source = text[m.start(2) : m.end(2)].strip()
+        value = licenses.evaluate(source)
+        if value and (value[0] or not m[1]):
+            found.append((source, value))
+            labels |= value[0]
+    score = 1 - 0.5**notices * (0.1 if found else 1)
+    return ",".join(sorted(labels)), round(score, 9), found[0][0] if found else None, all(v[1] for _, v in found) if found else None
+
+
+def test_license_labels_equal_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    cases = [
+        "License: MIT\nlicense: see file\nLICENSE = 'Apache-2.0'", '{"license": "MIT OR GPL-2.0", "x": 1}', "license:license: isc", "sublicense: MIT", "SPDX-License-Identifier:Unknown-1 AND MIT; license-expression: (bsd",
+        "no tag here: MIT", "license expression: eupl-1.2\nArtistic License", "Public\ndomain; all rights reserved. CC0 cc by-nc-sa 4.0", "license: été MIT", "license: ",
+    ]
+    docs = docs.union(spark.createDataFrame(list(enumerate(cases, 10_000)), "doc_id long, text string"))
+    want = sorted((str(r.doc_id), *map(str, brute_licenses(r.text))) for r in docs.collect())
+    rows = licenses.scan_licenses(docs).collect()
+    assert sorted((str(r.doc_id), r.labels, str(round(r.score, 9)), str(r.expression), str(r.permissive)) for r in rows) == want
+    by = {r.doc_id: r for r in rows}
+    assert by[10_000].labels == "apache,mit" and by[10_001].labels == "gpl,mit" and by[10_003].labels == ""
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    found = licenses.scan(b"mit license and so on License: MIT\n" * 80_000, licenses.automaton())
+    assert found[1] == 80_000 and found[3] == 7 * 79_999 and time.perf_counter() - began < 4
+
+
 def test_license_tags(spark):
     rows = spark.createDataFrame([(1, "x\n// SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0\ny"), (2, "License-Expression: MIT AND"), (3, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
@@ -129,6 +209,47 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_scores_equal_the_exact_kernel(spark):
+    """Every text's kernel with every landmark from sets of n-grams, without hashed slots, and without folding landmarks and weights."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null and length(text) < 4000").orderBy("doc_id").limit(70).collect()
+    learn, ask = rows[:50], rows[50:]
+    model = language.fit([r.text.encode() for r in learn], [r.lang for r in learn], landmarks=1000)
+    names = sorted({r.lang for r in learn})
+
+    def grams(text):
+        b = text.encode().lower()
+        return [{b[i : i + n] for i in range(len(b) - n + 1)} for n in language.LENGTHS]
+
+    def kernel(a, b):
+        return sum(len(x & y) / (len(x) * len(y)) ** 0.5 for x, y in zip(a, b) if x and y)
+
+    sets = [grams(r.text) for r in learn]
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.where(np.array([r.lang for r in learn])[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    w = np.array([len(learn) / (len(names) * sum(s.lang == r.lang for s in learn)) for r in learn])
+    alpha = np.linalg.solve(w[:, None] * k + 1e-3 * len(learn) * np.eye(len(learn)), w[:, None] * y)
+    out = np.array([[kernel(grams(r.text), s) for s in sets] for r in ask]) @ alpha
+    p = np.exp(model.sharpness * (out - out.max(1, keepdims=True)))
+    p /= p.sum(1, keepdims=True)
+    got = model.scores([r.text.encode() for r in ask])
+    assert model.languages == names and (got.argmax(1) == p.argmax(1)).all() and np.abs(got - p).max() < 0.1
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"wort{i % 230:03d} " * 3, f"l{i % 230:03d}") for i in range(230 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.train(docs).languages) == 230
+    with pytest.raises(ValueError):
+        language.train(docs, most_languages=100)
+
+
+def test_language_learns_from_short_texts_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(0, "oui", "fr"), (0, "oui", "fr"), (1, "ja", "de"), (4, "nein", "de")] * 40, "doc_id long, text string, lang string")
+    assert language.train(docs).languages == ["de", "fr"]
+
+
 def test_language_odd_rows(spark, odd, none):
     model = language.train(odd)
     rows = language.identify(odd, model).collect()
@@ -179,6 +300,42 @@ def test_secret_ownership(spark):
     assert all(got[20 + i].n_assign == 1 and got[20 + i].found[0].verdict == "copied" for i in range(5))
 
 
+def test_secret_owners_and_repositories(spark):
+    def rows(value, sources):
+        return [(f"see {value} there", s) for s in sources]
+
+    a, b, c = ("Zx9" * 12, "Ab1" * 12, "Qp7" * 12)
+    made = rows(a, [f"me/repo{k % 2}" for k in range(9)]) + rows(b, [f"me/repo{k}" for k in range(6)]) + rows(c, ["me/x", "you/x", "they/x"])
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(made)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert [(x.owners, x.repositories, x.docs, x.verdict) for x in got[0].found] == [(1, 2, 9, "live")]
+    assert all(got[k].spans == "" for k in range(9, 18))
+
+
+def merged_out(text, spans, mark):
+    out, at = [], 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], mark]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_equals_brute_force(spark, odd):
+    mark = "[it's \"gone\"]"
+    clash = "_id _hash _found _text_hash id hash found maybe sign i2 h2 s w b".split()
+    texts = [*CASES, "token=abcdef1 é " * 900, "x" * 300, "deadbeef" * 4 + " secret: " + "0123456789abcdef" * 3 + " AKIA" + "A" * 20, ("password=hunter22" + "漢" * 30) * 65]
+    docs = spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string").union(odd.select("doc_id", "text", "source"))
+    docs = docs.select("*", *(F.lit("mine").alias(c) for c in clash))
+    spans = {(r.doc_id, r.text_hash): [(x.s, x.e) for x in r.found] for r in secrets.scan_secrets(docs).collect()}
+    want = sorted((str(r.doc_id), str(merged_out(r.text, spans[r.doc_id, r.h], mark) if r.text is not None else None)) for r in docs.select("*", F.xxhash64("text").alias("h")).collect())
+    rows = secrets.redact(docs, mark)
+    assert rows.columns == docs.columns
+    rows = rows.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == want and all(r[c] == "mine" for r in rows for c in clash)
+    assert sum(mark in (r.text or "") for r in rows) > 10
+
+
 def test_secret_redaction(spark, odd):
     out = {r.doc_id: r.text for r in secrets.redact(odd.where("doc_id in (1, 4, 9)"), "[X]").collect()}
     assert out[1].startswith("the quick") and out[4] is None
@@ -221,5 +378,58 @@ def test_marginals_equal_enumeration():
         assert np.allclose(m[:, c], w / total)
 
 
+def _likelihood(e, y, lengths, step):
+    """Negative log-likelihood of the tags y, every path of every text enumerated."""
+    import itertools
+
+    import numpy as np
+
+    total, at = 0.0, 0
+    for n in lengths:
+        def weight(path, at=at, n=n):
+            return sum(e[at + i] for i in range(n) if path[i]) + sum(step[a, b] for a, b in zip(path, path[1:])) + (step[path[-1], 0] if n else 0)
+
+        total += np.log(sum(np.exp(weight(p)) for p in itertools.product((0, 1), repeat=n))) - weight([int(x) for x in y[at : at + n]]) if n else 0
+        at += n
+    return total
+
+
+def test_gradient_equals_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lengths = np.array([4, 0, 1, 6])
+    e, y, step = rng.normal(size=11), (rng.random(11) < 0.4).astype(float), rng.normal(size=(2, 2))
+    ge, gs = toxicity.gradient(e, y, lengths, step)
+    for k in range(11):
+        d = np.eye(11)[k] * 1e-5
+        assert abs((_likelihood(e + d, y, lengths, step) - _likelihood(e - d, y, lengths, step)) / 2e-5 - ge[k]) < 1e-6
+    for k in range(4):
+        d = np.eye(4)[k].reshape(2, 2) * 1e-5
+        assert abs((_likelihood(e, y, lengths, step + d) - _likelihood(e, y, lengths, step - d)) / 2e-5 - gs.ravel()[k]) < 1e-6
+
+
+def test_marginals_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 64, 0, 65, 700, 3])
+    e, step = 3 * rng.normal(size=lengths.sum()), rng.normal(size=(2, 2))
+    got, pairs = toxicity.chain_marginals(e, lengths, step, True)
+    for size in (1, 7, 1024):
+        monkeypatch.setattr(toxicity, "BLOCK", size)
+        again, pairs2 = toxicity.chain_marginals(e, lengths, step, True)
+        assert np.allclose(got, again) and np.allclose(pairs, pairs2)
+
+
+def test_toxic_words_are_learned_wherever_they_stand():
+    plain = "the day is long and the road goes on " * 60
+    texts = [(plain + ("grumpf you moron " if k % 2 else "thanks a lot ") + plain * (k % 3)).encode() for k in range(60)]
+    model = toxicity.fit(texts, [k % 2 for k in range(60)])
+    summary, hot = model.summaries([(plain * 20 + "grumpf moron").encode(), plain.encode()], toxicity.Emissions(model.weights, model.bias))
+    assert model.score(summary)[0] > 0.5 > model.score(summary)[1] and hot[0] and not hot[1]
+    assert toxicity.fit(texts, [1] * 60) is None
+
+
 def test_toxic_offsets():
     assert toxicity._offsets("Äh, du IDIOT!".encode(), [2]) == [{"s": 7, "e": 12}]
