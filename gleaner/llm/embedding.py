@@ -224,6 +224,12 @@ def _save(**arrays) -> bytes:
     return out.getvalue()
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows in double precision times powers of two that bring their largest component near one, so that no square over- or underflows; cosines stay as they are."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _built(cosine: float):
     def run(pdf):
         import pandas as pd
@@ -231,8 +237,10 @@ def _built(cosine: float):
         ids = pdf.vec_id.to_numpy(np.int64)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        v = np.stack(pdf.embedding.to_numpy())[order].astype(np.float64)
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.stack(pdf.embedding.to_numpy())[order]
+        v = v if v.dtype == np.float32 else v.astype(np.float64)
+        unit = _scaled(v)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         x = np.append(unit, np.zeros((1, v.shape[1])), 0).astype(np.float32)  # row -1 stands for no neighbour
         absorb = np.sqrt((1 + cosine) / 2) + 3e-4
         graph, node = build(x[:-1], absorb)
@@ -257,6 +265,7 @@ class Shard:
     def __init__(self, blob: bytes):
         z = np.load(io.BytesIO(blob))
         self.ids, self.v, self.ball, self.nodes, self.radius, self.label = (z[k] for k in ("ids", "v", "ball", "nodes", "radius", "label"))
+        self.v = _scaled(self.v)
         self.norm = np.linalg.norm(self.v, axis=1)
         self.size = np.bincount(self.ball, minlength=len(self.nodes))
         by = np.argsort(self.ball, kind="stable")
@@ -337,7 +346,7 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["vec_id", "label", "size", "place"])
 
 
-def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 4096) -> DataFrame:
+def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int | None = None, shard_bytes: int = 4_000_000) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     vectors: vec_id (long) and embedding (array of numbers); others are ignored. Vectors with a cosine of `cosine`
@@ -345,16 +354,19 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 4
     vectors of different lengths. A null vec_id is a row without links. Repeated rows are vectors of their own.
     Exact within what the audits let pass: either shard of a pair is searched with the nodes of the other, and recall is
     held against a scan for 96 queries or as many more as hold 64 true hits; pairs of shards with fewer are scanned.
+    shard_rows: vectors of a shard, by default as many as shard_bytes holds at 8 bytes a component and as they are long on
+    average; every pair of shards meets in one task, which holds both. The components travel as they came: floats as floats.
     """
     spark = vectors.sparkSession
-    all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = F.expr("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)")
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    good = F.expr("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(cast(x as double)) = double('infinity')) and exists(embedding, x -> x <> 0)")
     all_ = all_.withColumn("good", F.coalesce(good, F.lit(False)))
-    n = all_.where("good").count()
+    n, dim = all_.where("good").agg(F.count("*"), F.avg(F.size("embedding"))).first()
     alone = all_.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return alone
-    shards = -(-n // shard_rows)
+    shards = -(-n // (shard_rows or max(1024, int(shard_bytes / 8 / dim))))
     dealt = all_.where("good").select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
     built = checkpoint(dealt.groupBy("dim", "shard").applyInPandas(_built(cosine), "dim int, shard int, blob binary"))
     a = built.withColumn("shard2", F.explode(F.sequence("shard", F.lit(shards - 1))))
