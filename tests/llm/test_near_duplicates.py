@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import embedding, minhash
@@ -128,6 +129,62 @@ def test_embeddings_odd_rows(spark):
     assert embedding.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_sizes(spark):
+    rows = [(1, [1e200, 1e200]), (2, [3e200, 3e200]), (3, [1e-200, 1e-200]), (4, [-1e-200, 0.0]), (5, [5e-324, 5e-324]), (6, [1.0, -1e308]), (7, [0.0, -1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (1, 6), 7: (1, 6)}
+
+
+def test_embedding_recall_at_production_parameters(spark):
+    """20 000 vectors in five shards or so, among them partners planted at several cosines: links found against brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(14_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = [x]
+    for c in (0.89, 0.902, 0.92, 0.95, 0.99, 1.0):
+        base = x[rng.integers(0, len(x), 1000)]
+        side = rng.normal(size=base.shape)
+        side -= (side * base).sum(1, keepdims=True) * base
+        made.append(c * base + (1 - c * c) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True))
+    x = np.concatenate(made).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    rows = embedding.link_embeddings(df).collect()
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.zeros(len(x), int)
+    links = []
+    for i in range(0, len(v), 2000):
+        a, b = np.nonzero(v[i : i + 2000] @ v.T >= 0.9)
+        a, b = (a + i)[a + i != b], b[a + i != b]
+        np.add.at(want, a, 1)
+        links += list(zip(a.tolist(), b.tolist()))
+    got = np.zeros(len(x), int)
+    for r in rows:
+        got[r.vec_id] = r.n_links
+    assert want.sum() > 8000 and (got <= want).all() and got.sum() >= 0.98 * want.sum()
+    root = roots(range(len(x)), links)
+    assert sum(r.component_id == root[r.vec_id] for r in rows) >= 0.98 * len(rows)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    docs = spark.createDataFrame([(5, " ".join(base)), (5, "something else entirely in this text here"), (9, near), (5, "something else entirely in this text here"), (7, None), (7, near)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == sorted([(5, 56, 5, True), (5, 3, 5, True), (5, 3, 5, True), (9, 56, 5, False), (7, 0, 7, True), (7, 56, 5, False)])
+
+
+def test_frequent_keys(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.llm.common import join_frequent
+
+    rows = spark.range(1000).selectExpr("if(id < 600, 1, id) as k", "id", "'x' as hot")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("k <> 700")
+    for how, n in (("inner", 999), ("left", 1000)):
+        got = join_frequent(rows, keyed, "k", "n", 1000, how, most=10).collect()
+        assert len(got) == n and all(r.low == (0 if r.k == 1 else None if r.k == 700 else r.k) and r.hot == "x" for r in got)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
