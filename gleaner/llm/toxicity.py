@@ -70,7 +70,7 @@ def chain_marginals(emission: np.ndarray, lengths: np.ndarray, step: np.ndarray,
     """
     grid, first, count = blocks(lengths)
     n, inside = grid.shape[1], grid >= 0
-    t = np.where(inside, np.exp(emission)[grid], 1.0)
+    t = np.where(inside, np.exp(emission)[grid], 0.0)  # beyond its end a text goes on in `other`, which is how it ends anyway
     (a00, a01), (a10, a11) = np.exp(step - step.max())
     begins = np.zeros(n, bool)
     begins[first[count > 0]] = True
@@ -81,9 +81,9 @@ def chain_marginals(emission: np.ndarray, lengths: np.ndarray, step: np.ndarray,
         q0, q1 = p[:, 0] * a00 + p[:, 1] * a10, p[:, 0] * a01 + p[:, 1] * a11
         if i == 0:
             q0, q1 = np.where(begins, p[:, 0], q0), np.where(begins, p[:, 1], q1)
-        q1 = q1 * t[i]
-        z = (q0 + q1).sum(0)
-        p = np.where(inside[i], np.stack([q0, q1], 1) / z, p)
+        q1 *= t[i]
+        z = 1 / (q0 + q1).sum(0)
+        p[:, 0], p[:, 1] = q0 * z, q1 * z
     into, back = np.ones((2, n)), np.ones((2, n))
     back[0], back[1] = a00, a10
     order = np.argsort(-count, kind="stable")
@@ -103,9 +103,9 @@ def chain_marginals(emission: np.ndarray, lengths: np.ndarray, step: np.ndarray,
         if i == 0:
             r0, r1 = np.where(begins, q0, r0), np.where(begins, q1, r1)
         r1 = r1 * t[i]
-        z = r0 + r1
-        q0, q1 = np.where(inside[i], r0 / z, q0), np.where(inside[i], r1 / z, q1)
-        forward[i, 0], forward[i, 1] = q0, q1
+        z = 1 / (r0 + r1)
+        q0, q1 = forward[i]
+        np.multiply(r0, z, out=q0), np.multiply(r1, z, out=q1)
     m, pairs = np.empty((BLOCK, n)), np.zeros((2, 2))
     b0, b1 = back
     for i in range(BLOCK - 1, -1, -1):
@@ -117,8 +117,8 @@ def chain_marginals(emission: np.ndarray, lengths: np.ndarray, step: np.ndarray,
             w = np.array([[g0 * a00 * b0, g0 * a01 * r1], [g1 * a10 * b0, g1 * a11 * r1]])
             pairs += ((w / w.sum((0, 1))) * (inside[i] & ~(begins & (i == 0)))).sum(2)
         c0, c1 = a00 * b0 + a01 * r1, a10 * b0 + a11 * r1
-        z = c0 + c1
-        b0, b1 = np.where(inside[i], c0 / z, b0), np.where(inside[i], c1 / z, b1)
+        z = 1 / (c0 + c1)
+        b0, b1 = c0 * z, c1 * z
     out = np.empty(len(emission))
     out[grid[inside]] = m[inside]
     return (out, pairs) if want_pairs else out
