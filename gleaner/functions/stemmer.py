@@ -1,12 +1,14 @@
-"""The published Snowball stemmer for Russian, applied to a vocabulary."""
+"""The published Snowball stemmer for Russian as a column expression; `stem` is the plain version that tests hold it against."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import CYRILLIC, let, split_tokens
+
 VOWELS = "аеиоуыэюя"
 # Endings of the published algorithm. A group (after) only counts behind а or я.
 GERUND_AFTER, GERUND = ("вшись", "вши", "в"), ("ывшись", "ившись", "ывши", "ивши", "ыв", "ив")
@@ -72,14 +74,46 @@ def stem(word: str) -> str:
     return word
 
 
-def stemmed(tokens: DataFrame, column: str = "token") -> DataFrame:
-    """The rows with column replaced by its stem; the stemmer runs once for each distinct token."""
+def _ending(plain, after=()) -> str:
+    """A pattern of the longest ending of either group; those of `after` count behind а or я."""
+    return f"(?:{'|'.join(plain)}{'|(?<=[ая])(?:' + '|'.join(after) + ')' if after else ''})$"
+
+
+def stem_column(word: Column) -> Column:
+    """The stem of a word of а-я; any other word as it is.
+
+    Endings are cut from what follows the first vowel; a region that begins later is checked by length.
+    """
+
+    def cut(part: Column, pattern: str) -> Column:
+        return F.regexp_replace(part, F.lit(pattern), F.lit(""))
+
+    def verb_or_noun(rest: Column) -> Column:
+        return let(cut(rest, _ending(VERB, VERB_AFTER)), lambda v: F.when(v != rest, v).otherwise(cut(rest, _ending(NOUN))))
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(stem=pdf.token.map(stem))
+    def inflected(rest: Column) -> Column:
+        adjective = let(cut(rest, _ending(ADJECTIVE)), lambda a: F.when(a != rest, cut(a, _ending(PARTICIPLE, PARTICIPLE_AFTER))).otherwise(verb_or_noun(rest)))
+        return adjective
 
-    words = tokens.select(F.col(column).alias("token")).where(F.col(column).rlike("^[а-я]+$")).distinct()
-    stems = words.mapInPandas(run, "token string, stem string").withColumnRenamed("token", "_token")
-    joined = tokens.join(stems, tokens[column] == stems["_token"], "left")
-    return joined.withColumn(column, F.coalesce("stem", column)).drop("_token", "stem")
+    def first(part: Column) -> Column:
+        return let(cut(part, _ending(GERUND, GERUND_AFTER)), lambda g: F.when(g != part, g).otherwise(let(cut(part, "(?:ся|сь)$"), inflected)))
+
+    def rest(w: Column, part: Column) -> Column:
+        head = F.char_length(w) - F.char_length(part)
+        late = F.regexp_extract(w, f"^.*?[{VOWELS}][^{VOWELS}].*?[{VOWELS}][^{VOWELS}]", 0)
+        begin = F.when(late == "", F.char_length(w)).otherwise(F.char_length(late))
+        out = let(cut(first(part), "и$"), lambda x: let(cut(x, "ость?$"), lambda y: F.when(head + F.char_length(y) >= begin, y).otherwise(x)))
+        last = let(cut(out, "ейше?$"), lambda x: F.when(x.endswith("нн"), cut(x, "н$")).otherwise(cut(x, "ь$")))
+        return F.concat(F.left(w, head), last)
+
+    return let(word, lambda w: F.when(w.rlike("^[а-я]+$"), let(cut(w, f"^[^{VOWELS}]*[{VOWELS}]?"), lambda part: rest(w, part))).otherwise(w))
+
+
+def tokenize(text: Column) -> Column:
+    """The stems of a text's tokens; without a Cyrillic letter these are the tokens."""
+    return F.when(text.rlike(CYRILLIC), F.transform(split_tokens(text), stem_column)).otherwise(split_tokens(text))
+
+
+def stemmed(tokens: DataFrame, column: str = "token") -> DataFrame:
+    """The rows with column replaced by its stem."""
+    return tokens.withColumn(column, stem_column(F.col(column)))

@@ -67,12 +67,17 @@ def _replace(text: Column, *steps: tuple[str, str]) -> Column:
     return text
 
 
+CYRILLIC = "[а-яёА-ЯЁ]"
+
+
 def split_tokens(text: Column) -> Column:
-    """Lower-cased words, numbers and act numbers, ё as е, without function words. Null gives null."""
+    """Lower-cased words, numbers and act numbers, ё as е, without function words. Null gives null.
+
+    Function words and ё are Cyrillic, so texts without a Cyrillic letter are spared the steps that deal with them.
+    """
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    found = F.transform(found, lambda t: F.translate(t, "ё", "е"))
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    plain = F.transform(found, lambda t: F.translate(t, "ё", "е"))
+    return F.when(text.rlike(CYRILLIC), F.filter(plain, lambda t: ~t.isin(*STOPWORDS))).otherwise(found)
 
 
 def truncate_tokens(text: Column, n: int = 6) -> Column:

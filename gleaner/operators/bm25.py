@@ -7,45 +7,84 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import split_tokens
+from gleaner.functions.stemmer import tokenize
+from gleaner.functions.text import let
 
 K1, B = 1.5, 0.75
 
 
-def tokens_of(texts: DataFrame, key: str, text: str = "text", tokenizer=split_tokens) -> DataFrame:
+#: Queries' terms up to this number are broadcast to the postings, more of them are joined by shuffle.
+MOST_TERMS = 200_000
+
+
+def tokens_of(texts: DataFrame, key: str, text: str = "text", tokenizer=tokenize) -> DataFrame:
     """key, pos, token: one row for each token, places from 0."""
     return texts.select(key, F.posexplode(tokenizer(F.col(text))).alias("pos", "token"))
 
 
+def term_counts(tokens) -> F.Column:
+    """Array of (token, tf) of an array of tokens: the lengths of the runs of equal ones, once sorted. Nothing is shuffled."""
+
+    def runs(t):
+        starts = F.filter(F.transform(t, lambda x, i: i), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return let(starts, lambda p: F.transform(p, lambda i, k: F.struct(F.get(t, i).alias("token"), (F.coalesce(F.get(p, k + 1), F.size(t)) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(tokens), runs)
+
+
 @dataclass
 class Index:
-    postings: DataFrame  # doc_id, token, tf
-    terms: DataFrame  # token, df, idf
-    docs: DataFrame  # doc_id, norm: all documents, those without a token too
-
-
-def build(docs: DataFrame, tokenizer=split_tokens, k1: float = K1, b: float = B) -> Index:
-    """The index of docs (doc_id, text). An idf below zero is replaced by a quarter of the mean idf; null texts have no tokens."""
-    tf = tokens_of(docs, "doc_id", tokenizer=tokenizer).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    length = docs.select("doc_id", F.coalesce(F.size(tokenizer(F.col("text"))), F.lit(0)).alias("dl"))
-    length = length.withColumn("dl", F.greatest("dl", F.lit(0)))
-    size = F.broadcast(length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
-    terms = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(size)
-    terms = terms.select("token", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = F.broadcast(terms.agg(F.avg("raw").alias("mean")))  # one row
-    terms = terms.crossJoin(mean).select("token", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    norm = length.crossJoin(size).select("doc_id", "dl", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    return Index(tf, terms, norm)
-
-
-def scores(index: Index, queries: DataFrame, key: str, tokenizer=split_tokens, k1: float = K1) -> DataFrame:
+    rows: DataFrame  # doc_id, dl, terms array<struct<token, tf>>: all documents, those without a token too
+    size: DataFrame  # one row: n, avgdl
+    k1: float = K1
+    b: float = B
+
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, dl, token, tf."""
+        return self.rows.select("doc_id", "dl", F.inline("terms"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """token, df, idf. An idf below zero is replaced by a quarter of the mean idf."""
+        df = self.rows.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        raw = df.crossJoin(F.broadcast(self.size)).select("token", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+        mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
+        return raw.crossJoin(mean).select("token", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+    @property
+    def docs(self) -> DataFrame:
+        """doc_id, dl, norm."""
+        return self._normed(self.rows.select("doc_id", "dl"))
+
+    def _normed(self, rows: DataFrame) -> DataFrame:
+        norm = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
+        return rows.crossJoin(F.broadcast(self.size)).withColumn("norm", norm).drop("n", "avgdl")
+
+
+def build(docs: DataFrame, tokenizer=tokenize, k1: float = K1, b: float = B, keep: bool = False) -> Index:
+    """The index of docs (doc_id, text); null texts have no tokens. Every row is a document of its own.
+
+    Texts are tokenised once, and a document's terms are counted within its row. keep: the rows are persisted, as an index that
+    serves its vocabulary and its searches, or several of them, wants to be.
+    """
+    tokens = docs.select("doc_id", F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    rows = tokens.select("doc_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("terms"))
+    rows = rows.persist() if keep else rows
+    return Index(rows, rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b)
+
+
+def scores(index: Index, queries: DataFrame, key: str, tokenizer=tokenize) -> DataFrame:
     """key, doc_id, score of every document that shares a token; a token repeated in a query counts each time.
 
-    The terms of the queries meet the idf table first, so postings of other tokens drop out of the join early.
+    The postings meet the queries' terms before anything is shuffled: up to MOST_TERMS of them, counted first, are broadcast.
     """
-    wanted = tokens_of(queries, key, tokenizer=tokenizer).groupBy(key, "token").agg(F.count("*").alias("qtf")).join(index.terms, "token")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
-    return index.postings.join(wanted, "token").join(index.docs, "doc_id").groupBy(key, "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
+    asked = tokens_of(queries, key, tokenizer=tokenizer).groupBy(key, "token").agg(F.count("*").alias("qtf"))
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    wanted = index.terms.join(F.broadcast(asked) if few else asked, "token").select(key, "token", "qtf", "idf")
+    found = index._normed(index.postings.join(F.broadcast(wanted) if few else wanted, "token"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + F.col("norm"))
+    return found.groupBy(key, "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
 
 
 def top(scored: DataFrame, key: str, k: int = 10) -> DataFrame:
@@ -55,15 +94,14 @@ def top(scored: DataFrame, key: str, k: int = 10) -> DataFrame:
 
 
 def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, key: str, k: int = 10) -> DataFrame:
-    """Like top, but documents with score 0 (smallest ids first) fill a query's list up to k.
+    """Like top, but documents with score 0 (smallest ids first) fill a query's list up to k, and rank before those below zero.
 
-    Only the k smallest ids can be needed as filling besides the scored ones: a query with m scored documents
-    needs at most k - m, so k + k candidates a query suffice and no query meets the whole corpus.
+    A query that needs filling has fewer than k documents above zero, and some number below zero, at most m in any query (m is 0
+    unless most terms are in more than half of the documents). So k of the 2k + m smallest ids at least aren't scored by it,
+    and no query meets the whole corpus.
     """
-    found = scored.where("score <> 0").withColumn("fill", F.lit(0))
-    low = docs.select("doc_id").orderBy("doc_id").limit(2 * k)  # k ids at least aren't among the first k scored
+    found = scored.where("score <> 0")
+    m = found.where("score < 0").groupBy(key).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    low = docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k + m)
     zero = queries.select(key).crossJoin(F.broadcast(low)).join(found.select(key, "doc_id"), [key, "doc_id"], "left_anti")
-    negative = found.where("score < 0")
-    both = found.select(key, "doc_id", "score").union(zero.select(key, "doc_id", F.lit(0.0)))
-    del negative
-    return top(both, key, k)
+    return top(found.select(key, "doc_id", "score").union(zero.select(key, "doc_id", F.lit(0.0))), key, k)

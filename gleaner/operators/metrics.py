@@ -8,35 +8,36 @@ from pyspark.sql import functions as F
 METRICS = ("recall_1", "recall_5", "recall_10", "mrr_10", "ndcg_10")
 
 
-def per_query(run: DataFrame, qrels: DataFrame, depths: tuple[int, ...] = (1, 5, 10), depth: int = 10) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, depths: tuple[int, ...] = (1, 5, 10), depth: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, recall_k..., mrr_{depth}, ndcg_{depth} over the queries that run and qrels both have.
 
-    run: query_id, doc_id, rank; qrels: query_id, doc_id, grade (one row a pair).
+    run: query_id, doc_id, rank, and the columns `by`, by which several runs are told apart; qrels: query_id, doc_id, grade (one row a pair).
     """
-    both = run.select("query_id").distinct().join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    keys = [*by, "query_id"]
+    both = run.select(*keys).distinct().join(qrels.select("query_id").distinct(), "query_id", "left_semi")
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"))
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
     ideal = qrels.where("grade > 0").withColumn("i", F.row_number().over(w)).groupBy("query_id").agg(
         F.count("*").alias("good"), F.sum(F.when(F.col("i") <= depth, gain / F.log2(F.col("i") + 1.0)).otherwise(0.0)).alias("idcg")
     )
-    hit = run.join(qrels.where("grade > 0"), ["query_id", "doc_id"]).groupBy("query_id").agg(
+    hit = run.join(qrels.where("grade > 0"), ["query_id", "doc_id"]).groupBy(*keys).agg(
         *(F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in depths),
         F.min(F.when(F.col("rank") <= depth, F.col("rank"))).alias("first"),
         F.sum(F.when(F.col("rank") <= depth, gain / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
     )
-    rows = both.join(ideal, "query_id", "left").join(hit, "query_id", "left")
+    rows = both.join(ideal, "query_id", "left").join(hit, keys, "left")
     zero = F.lit(0)
     return rows.select(
-        "query_id",
+        *keys,
         *(F.round(F.coalesce(f"hit_{k}", zero) / F.col("good"), 6).alias(f"recall_{k}") for k in depths),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias(f"mrr_{depth}"),
         F.round(F.coalesce("dcg", F.lit(0.0)) / F.nullif(F.col("idcg"), F.lit(0.0)), 6).alias(f"ndcg_{depth}"),
     )
 
 
-def unpivoted(metrics: DataFrame, names=METRICS) -> DataFrame:
-    """query_id, metric, value."""
-    return metrics.unpivot("query_id", list(names), "metric", "value")
+def unpivoted(metrics: DataFrame, names=METRICS, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id (and the columns `by`), metric, value."""
+    return metrics.unpivot([*by, "query_id"], list(names), "metric", "value")
 
 
 def report(runs: DataFrame, qrels: DataFrame, subsets: DataFrame, least: int = 20) -> DataFrame:
@@ -46,9 +47,6 @@ def report(runs: DataFrame, qrels: DataFrame, subsets: DataFrame, least: int = 2
     """
     n_runs = runs.agg(F.countDistinct("run").alias("n_runs"))
     common = runs.groupBy("query_id").agg(F.countDistinct("run").alias("in_runs")).join(F.broadcast(n_runs), F.col("in_runs") == F.col("n_runs")).select("query_id")
-    keyed = runs.join(common, "query_id", "left_semi").withColumn("query_id", F.struct("run", "query_id"))
-    wanted = runs.select("run").distinct().join(qrels, F.lit(True)).withColumn("query_id", F.struct("run", "query_id"))
-    long = unpivoted(per_query(keyed, wanted.select("query_id", "doc_id", "grade")))
-    long = long.select(F.col("query_id.run").alias("run"), F.col("query_id.query_id").alias("query_id"), "metric", "value")
+    long = unpivoted(per_query(runs.join(common, "query_id", "left_semi"), qrels, by=("run",)), by=("run",))
     out = long.join(subsets, "query_id").groupBy("run", "subset", "metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     return out.where(F.col("n") >= least)

@@ -2,6 +2,10 @@
 
 Two modes: relational, where a counter-based generator (md5 of seed, replicate and place) draws the resamples, so SQL
 can repeat them; and numpy, where one group of bounded size (a value for each query) is resampled with PCG64.
+
+Resampling needs all values of a group at hand. They are what people or models judged, a value for each query of a benchmark:
+a group of more than MOST values is refused. Replicates are dealt out in chunks, and a chunk's task draws from the values in
+place, so no draw is shuffled.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
+
 
 def draw(n: Column, *parts: Column) -> Column:
     """A number in 0..n-1 from the md5 of the parts."""
@@ -17,22 +23,42 @@ def draw(n: Column, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
 
 
-def _placed(values: DataFrame, by: str, key: str) -> DataFrame:
-    """by, i, n, value without nulls: places from 0 in the order of key."""
-    w = Window.partitionBy(by)
-    kept = values.where("value is not null and not isnan(value)")
-    return kept.select(by, (F.row_number().over(w.orderBy(key)) - 1).alias("i"), F.count("*").over(w).alias("n"), "value")
+MOST = 1_000_000
+
+
+def _listed(values: DataFrame, by: str, key: str) -> DataFrame:
+    """by, n, v array<double> without nulls, in the order of key."""
+    kept = values.where("value is not null and not isnan(value)").select(by, F.struct(F.col(key).alias("k"), F.col("value").cast("double").alias("v")).alias("x"))
+    few = kept.groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("x"))
+    fits = F.when(F.col("n") > MOST, F.raise_error(F.lit(f"more than {MOST} values to resample"))).otherwise(F.col("n"))
+    return few.select(by, fits.cast("long").alias("n"), F.col("x.v").alias("v"))
+
+
+def _replicates(listed: DataFrame, by: str, reps: int, value, chunk: int = 250) -> DataFrame:
+    """by, rep, m: value(v, n, rep) of each replicate."""
+    chunks = -(-reps // chunk)
+    dealt = listed.select(by, "n", "v", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(F.col(by), F.col("chunk"))
+    first = F.col("chunk") * chunk
+    numbers = F.sequence(first.cast("long"), F.least(first + chunk, F.lit(reps)).cast("long") - 1)
+    made = F.transform(numbers, lambda rep: F.struct(rep.alias("rep"), value(F.col("v"), F.col("n"), rep).alias("m")))
+    return dealt.select(by, F.inline(made))
 
 
-def bootstrap(values: DataFrame, by: str, key: str, reps: int = 200, seed: int = 7) -> DataFrame:
+def _mean(v: Column, n: Column, each) -> Column:
+    """The mean of each(i) over the places."""
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), lambda a, i: a + each(i)) / n
+
+
+def _resampled(seed: int):
+    return lambda v, n, rep: _mean(v, n, lambda i: F.get(v, draw(n, F.lit(seed), rep, i).cast("int")))
+
+
+def bootstrap(values: DataFrame, by: str, key: str, reps: int = 10_000, seed: int = 7) -> DataFrame:
     """by, n, mean, lo, hi: bootstrap interval of the mean (linear quantiles at 2.5 and 97.5 %)."""
-    placed = _placed(values, by, key)
-    rep = values.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    picks = placed.select(by, "n", "i").crossJoin(F.broadcast(rep)).withColumn("j", draw(F.col("n"), F.lit(seed), F.col("rep"), F.col("i")))
-    drawn = picks.join(placed.select(by, F.col("i").alias("j"), "value"), [by, "j"])
-    means = drawn.groupBy(by, "rep").agg(F.avg("value").alias("m"))
+    listed = _listed(values, by, key)
+    means = _replicates(listed, by, reps, _resampled(seed))
     q = means.groupBy(by).agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"))
-    centre = placed.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    centre = listed.select(by, "n", F.round(_mean(F.col("v"), F.col("n"), lambda i: F.get("v", i.cast("int"))), 6).alias("mean"))
     return centre.join(q, by)
 
 
@@ -42,16 +68,45 @@ def paired(a: DataFrame, b: DataFrame, by: str, key: str) -> DataFrame:
     return x.join(y, [by, key]).select(by, key, (F.col("x") - F.col("y")).alias("value"))
 
 
-def sign_flip_p(differences: DataFrame, by: str, key: str, reps: int = 200, seed: int = 11) -> DataFrame:
+def sign_flip_p(differences: DataFrame, by: str, key: str, reps: int = 10_000, seed: int = 11) -> DataFrame:
     """by, p: the share of random sign flips whose mean is at least as far from 0 as the real one."""
-    placed = _placed(differences, by, key)
-    rep = differences.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    sign = F.when(draw(F.lit(2), F.lit(seed), F.col("rep"), F.col("i")) == 0, 1).otherwise(-1)
-    means = placed.crossJoin(F.broadcast(rep)).groupBy(by, "rep").agg(F.abs(F.avg(sign * F.col("value"))).alias("m"))
-    real = placed.groupBy(by).agg(F.abs(F.avg("value")).alias("real"))
+    listed = _listed(differences, by, key)
+
+    def flipped(v, n, rep):
+        return F.abs(_mean(v, n, lambda i: F.get(v, i.cast("int")) * F.when(draw(F.lit(2), F.lit(seed), rep, i) == 0, 1).otherwise(-1)))
+
+    real = listed.select(by, F.abs(_mean(F.col("v"), F.col("n"), lambda i: F.get("v", i.cast("int")))).alias("real"))
+    means = _replicates(listed, by, reps, flipped)
     return means.join(real, by).groupBy(by).agg(F.round(F.avg((F.col("m") >= F.col("real") - 1e-12).cast("double")), 6).alias("p"))
 
 
+def kappa_interval(votes: DataFrame, key: str, grades: int = 3, reps: int = 4000, seed: int = 7) -> DataFrame:
+    """lo, hi: order statistics at 2.5 and 97.5 % of the resampled kappa of two judges (a, b: 0..grades-1; null votes drop out)."""
+    cells = votes.where("a is not null and b is not null").select(F.lit("all").alias("by"), key, (F.col("a") * grades + F.col("b")).alias("value"))
+
+    def kappa(v, n, rep):
+        drawn = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(v, draw(n, F.lit(seed), rep, i).cast("int")))
+
+        def of(votes_):
+            def count(wanted):
+                return F.size(F.filter(votes_, lambda x: wanted(x))).cast("double")
+
+            def first(g):
+                return count(lambda x: F.floor(x / grades) == g)
+
+            def second(g):
+                return count(lambda x: x % grades == g)
+
+            off = count(lambda x: F.floor(x / grades) != x % grades)
+            hit = sum((first(g) * second(g) for g in range(grades)), F.lit(0.0))
+            return 1 - (off / n) / (1 - hit / (n * n))
+
+        return let(drawn, of)
+
+    every = _replicates(_listed(cells, "by", key), "by", reps, kappa).agg(F.sort_array(F.collect_list("m")).alias("k"))  # reps values
+    return every.select(*(F.round(F.element_at("k", F.floor(q * F.size("k")).cast("int") + 1), 6).alias(c) for c, q in (("lo", 0.025), ("hi", 0.975))))
+
+
 def gate(differences: DataFrame, by: str, key: str, tolerance: float = 0.02) -> DataFrame:
     """by, n, mean, lo, hi, accepted, established, detectable: rejected only if the mean falls below -tolerance."""
     ci = bootstrap(differences, by, key)
@@ -79,16 +134,13 @@ def bootstrap_numpy(values: DataFrame, by: str, reps: int = 10_000, seed: int =
     return values.select(by, "value").groupBy(by).applyInPandas(run, f"{by} string, n long, mean double, lo double, hi double")
 
 
-def unpaired_diff(a: DataFrame, b: DataFrame, by: str, key: str, reps: int = 200, seed: int = 7) -> DataFrame:
+def unpaired_diff(a: DataFrame, b: DataFrame, by: str, key: str, reps: int = 10_000, seed: int = 7) -> DataFrame:
     """by, diff, lo, hi: interval of the difference of two means, either side resampled by itself."""
 
     def means(v, s, name):
-        placed = _placed(v, by, key)
-        rep = v.sparkSession.range(reps).withColumnRenamed("id", "rep")
-        picks = placed.select(by, "n", "i").crossJoin(F.broadcast(rep)).withColumn("j", draw(F.col("n"), F.lit(s), F.col("rep"), F.col("i")))
-        drawn = picks.join(placed.select(by, F.col("i").alias("j"), "value"), [by, "j"])
-        real = placed.groupBy(by).agg(F.avg("value").alias(f"{name}_real"))
-        return drawn.groupBy(by, "rep").agg(F.avg("value").alias(name)).join(real, by)
+        listed = _listed(v, by, key)
+        real = listed.select(by, _mean(F.col("v"), F.col("n"), lambda i: F.get("v", i.cast("int"))).alias(f"{name}_real"))
+        return _replicates(listed, by, reps, _resampled(s)).withColumnRenamed("m", name).join(real, by)
 
     both = means(a, seed, "x").join(means(b, seed + 1, "y"), [by, "rep"])
     d = both.groupBy(by).agg(
@@ -99,8 +151,10 @@ def unpaired_diff(a: DataFrame, b: DataFrame, by: str, key: str, reps: int = 200
 
 
 def order_statistic(values: DataFrame, by: str, value: str, q: float = 0.95) -> DataFrame:
-    """by, n, median, p: the value at place round(q (n - 1)) of the sorted values, half to even."""
-    sorted_ = F.sort_array(F.collect_list(value))
-    got = values.groupBy(by).agg(F.percentile(value, 0.5).alias("median"), sorted_.alias("all"))
-    at = F.bround(F.lit(q) * (F.size("all") - 1), 0).cast("int")
-    return got.select(by, F.size("all").cast("long").alias("n"), "median", F.element_at("all", at + 1).alias("p"))
+    """by, n, median, p: the value at place round(q (n - 1)) of the sorted values, half to even. Values are counted before they are put in order, so equal ones take one row."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    total = values.groupBy(by).agg(F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
+    at = F.bround(F.lit(q) * (F.col("n") - 1), 0)
+    placed = counts.withColumn("upto", upto).join(total, by).where(F.col("upto") > at)
+    return placed.groupBy(by).agg(F.max("n").alias("n"), F.max("median").alias("median"), F.min(value).alias("p"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.stemmer import tokenize
 from gleaner.functions.text import STOPWORDS, let, split_tokens, truncate_tokens
 from gleaner.operators import bm25, chunking, dense
 
@@ -74,11 +75,16 @@ def questions(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def bm25_scores(spark, d, tokenizer=split_tokens):
-    return bm25.scores(bm25.build(documents(spark, d), tokenizer), questions(spark, d), "query_id", tokenizer)
+def bm25_index(spark, d, tokenizer=tokenize):
+    return bm25.build(documents(spark, d), tokenizer, keep=True)
+
+
+def bm25_scores(spark, d, tokenizer=tokenize):
+    return bm25.scores(bm25_index(spark, d, tokenizer), questions(spark, d), "query_id", tokenizer)
 
 
 def run_words(spark, d, k=50):
+    """The production search: stemmed tokens. (No table has a Russian word, so SQL needs no stemmer to repeat it.)"""
     return bm25.top(bm25_scores(spark, d), "query_id", k)
 
 
@@ -156,7 +162,8 @@ def _bm25_sql(name: str, token: str) -> str:
 {name}_q AS (SELECT query_id, {token} AS token, count(*) AS qtf FROM qtok GROUP BY ALL),
 {name}_scores AS (SELECT q.query_id, p.doc_id, round(sum(q.qtf * i.idf * p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.75 + 0.75 * l.dl / n.avgdl))), 4) AS score
   FROM {name}_tf p JOIN {name}_q q USING (token) JOIN {name}_idf i USING (token) JOIN {name}_dl l ON l.doc_id = p.doc_id, {name}_n n GROUP BY ALL),
-run_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_scores) WHERE rank <= 50)"""
+deep_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_scores) WHERE rank <= 200),
+run_{name} AS (SELECT * FROM deep_{name} WHERE rank <= 50)"""
 
 
 def _vector_sql(name: str, dim: int) -> str:
@@ -199,7 +206,7 @@ judge_b AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN 0 WHEN n_chars < 3000 T
 #: What a relation needs, and the names by which SQL refers to it.
 NEEDS = {"tok": ["doctok"], "qtok": ["questok"], "words": ["tok", "qtok", "doctok"], "stems": ["tok", "qtok", "doctok"], "qrels": ["doctok", "questok"]}
 NAMED = {
-    "words": r"run_words|words_\w+", "stems": r"run_stems|stems_\w+", "full": r"run_full|full_\w+", "half": r"run_half|half_\w+", "judges": r"judge_[ab]",
+    "words": r"run_words|deep_words|words_\w+", "stems": r"run_stems|deep_stems|stems_\w+", "full": r"run_full|full_\w+", "half": r"run_half|half_\w+", "judges": r"judge_[ab]",
 }
 
 

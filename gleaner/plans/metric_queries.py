@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import split_tokens
 from gleaner.operators import metrics, stats
-from gleaner.plans.base import documents, query, questions, read, run_stems, run_words, text_qrels, vector_qrels, vector_run
+from gleaner.plans.base import documents, judges, query, questions, read, run_stems, run_words, text_qrels, vector_qrels, vector_run
 from gleaner.plans.label_queries import _SUBSETS, subsets
 
 
@@ -53,7 +53,7 @@ def boot_sql(source: str, seed: int = 7) -> str:
     """CTEs of a bootstrap over `source`(by, key, value): placed, ci."""
     return f"""
 placed AS (SELECT by_, row_number() OVER (PARTITION BY by_ ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY by_) AS n, value FROM {source} WHERE value IS NOT NULL),
-picks AS (SELECT by_, rep, {_draw('n', str(seed), 'rep', 'i')} AS j FROM placed, (SELECT unnest(range(200)) AS rep)),
+picks AS (SELECT by_, rep, {_draw('n', str(seed), 'rep', 'i')} AS j FROM placed, (SELECT unnest(range(10000)) AS rep)),
 means AS (SELECT k.by_, k.rep, avg(p.value) AS m FROM picks k JOIN placed p ON p.by_ = k.by_ AND p.i = k.j GROUP BY ALL),
 centre AS (SELECT by_, count(*) AS n, round(avg(value), 6) AS mean FROM placed GROUP BY by_),
 ci AS (SELECT c.by_, c.n, c.mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means JOIN centre c USING (by_) GROUP BY ALL)"""
@@ -89,7 +89,7 @@ def _(spark, d):
 
 
 @query("l8_paired_diff", "WITH" + metric_sql("run_full", "vqrels", "m") + "," + metric_sql("run_half", "vqrels", "h") + ", " + _DIFF + "," + boot_sql("x") + f""",
-signed AS (SELECT by_, rep, abs(avg(CASE WHEN {_draw('2', '11', 'rep', 'i')} = 0 THEN value ELSE -value END)) AS m FROM placed, (SELECT unnest(range(200)) AS rep) GROUP BY ALL),
+signed AS (SELECT by_, rep, abs(avg(CASE WHEN {_draw('2', '11', 'rep', 'i')} = 0 THEN value ELSE -value END)) AS m FROM placed, (SELECT unnest(range(10000)) AS rep) GROUP BY ALL),
 real_ AS (SELECT by_, abs(avg(value)) AS r FROM placed GROUP BY by_),
 p AS (SELECT by_, round(avg((m >= r - 1e-12)::INT::DOUBLE), 6) AS p FROM signed JOIN real_ USING (by_) GROUP BY by_)
 SELECT by_ AS metric, n, mean, lo, hi, p FROM ci JOIN p USING (by_)""")
@@ -113,14 +113,14 @@ def _(spark, d):
 
 
 @query("l11_depth_ceiling", """
-WITH g AS (SELECT query_id, count(*) AS good FROM qrels WHERE grade > 0 GROUP BY query_id), k AS (SELECT unnest([5, 10, 20, 50]) AS depth),
-h AS (SELECT query_id, depth, count(*) AS hit FROM run_stems JOIN qrels USING (query_id, doc_id) JOIN k ON rank <= depth WHERE grade > 0 GROUP BY ALL)
+WITH g AS (SELECT query_id, count(*) AS good FROM qrels WHERE grade > 0 GROUP BY query_id), k AS (SELECT unnest([10, 50, 100, 200]) AS depth),
+h AS (SELECT query_id, depth, count(*) AS hit FROM deep_stems JOIN qrels USING (query_id, doc_id) JOIN k ON rank <= depth WHERE grade > 0 GROUP BY ALL)
 SELECT depth, count(*) AS n, round(avg(coalesce(hit, 0) / good), 6) AS recall FROM g CROSS JOIN k LEFT JOIN h USING (query_id, depth) GROUP BY depth""")
 def _(spark, d):
     q = text_qrels(spark, d).where("grade > 0")
     good = q.groupBy("query_id").agg(F.count("*").alias("good"))
-    depths = F.explode(F.array(*(F.lit(k) for k in (5, 10, 20, 50)))).alias("depth")
-    hit = run_stems(spark, d).join(q, ["query_id", "doc_id"]).select("query_id", "rank", depths).where("rank <= depth").groupBy("query_id", "depth").agg(F.count("*").alias("hit"))
+    depths = F.explode(F.array(*(F.lit(k) for k in (10, 50, 100, 200)))).alias("depth")
+    hit = run_stems(spark, d, 200).join(q, ["query_id", "doc_id"]).select("query_id", "rank", depths).where("rank <= depth").groupBy("query_id", "depth").agg(F.count("*").alias("hit"))
     both = good.select("query_id", "good", depths).join(hit, ["query_id", "depth"], "left")
     return both.groupBy("depth").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0)) / F.col("good")), 6).alias("recall"))
 
@@ -309,26 +309,16 @@ def _(spark, d):
     return q.select("query_id", reason.alias("reason"))
 
 
-@query("f6_kappa_interval")
+@query("f6_kappa_interval", """
+WITH cells AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n, a, b FROM judge_a JOIN judge_b USING (doc_id) WHERE a IS NOT NULL AND b IS NOT NULL),
+picks AS (SELECT rep, """ + _draw("n", "7", "rep", "i") + """ AS j FROM cells, (SELECT unnest(range(4000)) AS rep)),
+drawn AS (SELECT p.rep, c.a, c.b FROM picks p JOIN cells c ON c.i = p.j),
+ca AS (SELECT rep, a AS x, count(*) AS c FROM drawn GROUP BY ALL), cb AS (SELECT rep, b AS x, count(*) AS c FROM drawn GROUP BY ALL),
+hit AS (SELECT rep, sum(ca.c * cb.c) AS hit FROM ca JOIN cb USING (rep, x) GROUP BY rep),
+k AS (SELECT rep, 1 - (off / n) / (1 - coalesce(hit, 0) / (n * n)) AS k FROM (SELECT rep, count(*)::DOUBLE AS n, count(*) FILTER (a <> b) AS off FROM drawn GROUP BY rep) LEFT JOIN hit USING (rep)),
+o AS (SELECT list(k ORDER BY k) AS k FROM k)
+SELECT round(k[CAST(floor(0.025 * len(k)) AS INT) + 1], 6) AS lo, round(k[CAST(floor(0.975 * len(k)) AS INT) + 1], 6) AS hi FROM o""")
 def _(spark, d):
-    """Resampled kappa of two judges, order statistics at 2.5 and 97.5 %: 200 resamples by md5."""
-    from gleaner.plans.label_queries import votes
-
-    return judging_interval(votes(spark, d))
-
-
-def judging_interval(votes, reps: int = 200, seed: int = 7):
-    from pyspark.sql import functions as F
-
-    cells = votes.where("a is not null and b is not null").select(F.lit("all").alias("by"), "doc_id", (F.col("a") * 3 + F.col("b")).cast("double").alias("value"))
-    placed = stats._placed(cells, "by", "doc_id")
-    rep = votes.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    picks = placed.select("by", "n", "i").crossJoin(F.broadcast(rep)).withColumn("j", stats.draw(F.col("n"), F.lit(seed), F.col("rep"), F.col("i")))
-    drawn = picks.join(placed.select(F.col("i").alias("j"), "value"), "j").groupBy("rep", "value").agg(F.count("*").alias("c"))
-    cell = drawn.select("rep", F.floor(F.col("value") / 3).alias("a"), (F.col("value") % 3).cast("long").alias("b"), "c")
-    n = cell.groupBy("rep").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") != F.col("b"), F.col("c")).otherwise(0)).alias("off"))
-    ca, cb = cell.groupBy("rep", "a").agg(F.sum("c").alias("ca")), cell.groupBy("rep", "b").agg(F.sum("c").alias("cb"))
-    same = ca.join(cb, (ca["rep"] == cb["rep"]) & (ca["a"] == cb["b"])).groupBy(ca["rep"]).agg(F.sum(F.col("ca") * F.col("cb")).alias("hit"))
-    k = n.join(same, "rep", "left").select((1 - (F.col("off") / F.col("n")) / (1 - F.coalesce("hit", F.lit(0)) / (F.col("n") * F.col("n")))).alias("k"))
-    every = k.agg(F.sort_array(F.collect_list("k")).alias("k"))
-    return every.select(F.round(F.element_at("k", F.floor(0.025 * F.size("k")).cast("int") + 1), 6).alias("lo"), F.round(F.element_at("k", F.floor(0.975 * F.size("k")).cast("int") + 1), 6).alias("hi"))
+    """Resampled kappa of two judges, order statistics at 2.5 and 97.5 % of 4000 resamples by md5."""
+    a, b = judges(spark, d)
+    return stats.kappa_interval(a.join(b, "doc_id"), "doc_id")

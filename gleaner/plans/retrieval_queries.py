@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import act_numbers, split_tokens
 from gleaner.operators import bm25, chunking, dense, runs
 from gleaner.plans.base import (
-    Literal, bm25_scores, chunks, documents, query, questions, read, run_stems, run_words, spans, vector_run, vectors,
+    Literal, bm25_index, bm25_scores, chunks, documents, query, questions, read, run_stems, run_words, spans, vector_run, vectors,
 )
 
 RUN = ["query_id", "doc_id", "score", "rank"]
@@ -15,12 +15,12 @@ RUN = ["query_id", "doc_id", "score", "rank"]
 
 @query("g1_bm25_terms", "SELECT token, df, round(idf, 6) AS idf FROM words_idf")
 def _(spark, d):
-    return bm25.build(documents(spark, d)).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index(spark, d).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("g1_bm25_norms", "SELECT doc_id, dl, round(1.5 * (1 - 0.75 + 0.75 * dl / avgdl), 6) AS norm FROM words_dl, words_n")
 def _(spark, d):
-    return bm25.build(documents(spark, d)).docs.select("doc_id", F.col("dl").cast("long").alias("dl"), F.round("norm", 6).alias("norm"))
+    return bm25_index(spark, d).docs.select("doc_id", F.col("dl").cast("long").alias("dl"), F.round("norm", 6).alias("norm"))
 
 
 @query("g2_bm25_scores", "SELECT query_id, doc_id, score FROM words_scores")
@@ -60,7 +60,7 @@ def _(spark, d):
 
 @query("g6_index_size", "SELECT count(*) AS postings, count(DISTINCT token) AS vocabulary, sum(tf) AS tokens FROM words_tf")
 def _(spark, d):
-    p = bm25.build(documents(spark, d)).postings
+    p = bm25_index(spark, d).postings
     return p.agg(F.count("*").alias("postings"), F.countDistinct("token").alias("vocabulary"), F.sum("tf").alias("tokens"))
 
 
@@ -131,9 +131,9 @@ def _(spark, d):
     return runs.rrf([a, b], 10).join(runs.common_queries([a, b]), "query_id", "left_semi").select(RUN)
 
 
-@query("g17_deep_hybrid", "WITH" + _RRF.format(a="run_words", b="run_stems") + " SELECT query_id, count(*) AS n, max(rank) AS deepest, round(sum(score), 6) AS total FROM fused WHERE rank <= 200 GROUP BY query_id")
+@query("g17_deep_hybrid", "WITH" + _RRF.format(a="deep_words", b="deep_stems") + " SELECT query_id, count(*) AS n, max(rank) AS deepest, round(sum(score), 6) AS total FROM fused WHERE rank <= 200 GROUP BY query_id")
 def _(spark, d):
-    f = runs.rrf([run_words(spark, d), run_stems(spark, d)], 200)
+    f = runs.rrf([run_words(spark, d, 200), run_stems(spark, d, 200)], 200)
     return f.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("deepest"), F.round(F.sum("score"), 6).alias("total"))
 
 

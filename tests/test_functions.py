@@ -57,3 +57,13 @@ def test_stemmed_vocabulary(spark):
 def test_body_and_grade(spark):
     assert one(spark, "a\n\nb\n\nc", text.body_of) == "b\n\nc"
     assert one(spark, "no gap", text.body_of) == "no gap"
+
+
+def test_stem_expression_equals_the_plain_stemmer(spark):
+    import random
+
+    rng = random.Random(1)
+    endings = [*stemmer.GERUND, *stemmer.GERUND_AFTER, *stemmer.ADJECTIVE, *stemmer.PARTICIPLE, *stemmer.PARTICIPLE_AFTER, *stemmer.VERB, *stemmer.VERB_AFTER, *stemmer.NOUN, *"ость ост ейше ейш нн ь ся сь и".split(), ""]
+    words = ["".join(rng.choice("абвгеиклмнопрстуыьэюя") for _ in range(rng.randrange(9))) + rng.choice(endings) + rng.choice(endings) for _ in range(3000)] + ["abc", "590-п", ""]
+    df = spark.createDataFrame([(w,) for w in words], "token string")
+    assert all(r.stem == stemmer.stem(r.token) for r in df.select("token", stemmer.stem_column(df.token).alias("stem")).collect())

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import split_tokens
 from gleaner.operators import bm25, chunking, curation, dense, judging, metrics, qrels, runs, stats
 from gleaner.sources import files
 from gleaner.streaming import judgements
@@ -28,7 +29,7 @@ def test_bm25(spark):
     q = spark.createDataFrame([(9, "резерв ссуда")], "query_id long, text string")
     index = bm25.build(docs)
     idf = {r.token: r.idf for r in index.terms.collect()}
-    assert idf["ссуда"] == pytest.approx(math.log(3.5) - math.log(1.5)) and idf["резерв"] == pytest.approx(0)
+    assert idf["ссуд"] == pytest.approx(math.log(3.5) - math.log(1.5)) and idf["резерв"] == pytest.approx(0)
     found = bm25.padded(bm25.scores(index, q, "query_id"), q, docs, "query_id", 3).orderBy("rank").collect()
     assert [r.doc_id for r in found] == [1, 2, 3] and found[1].score == 0
     twice = bm25.scores(index, spark.createDataFrame([(9, "ссуда ссуда")], "query_id long, text string"), "query_id").first().score
@@ -36,6 +37,38 @@ def test_bm25(spark):
     assert twice == pytest.approx(2 * once, abs=1e-5)
 
 
+def test_bm25_finds_other_forms_of_a_word(spark):
+    docs = spark.createDataFrame([(1, "принципы оценки"), (2, "оценка риска"), (3, "порядок расчёта")], "doc_id long, text string")
+    q = spark.createDataFrame([(9, "принципами")], "query_id long, text string")
+    assert [r.doc_id for r in bm25.scores(bm25.build(docs, keep=True), q, "query_id").collect()] == [1]
+    assert bm25.scores(bm25.build(docs, split_tokens), q, "query_id", split_tokens).count() == 0
+
+
+def test_bm25_term_counts_and_shuffled_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a b c b a"), (2, ""), (3, None), (4, "c c")], "doc_id long, text string")
+    index = bm25.build(docs)
+    assert sorted((r.doc_id, r.dl, r.token, r.tf) for r in index.postings.collect()) == [(1, 6, "a", 2), (1, 6, "b", 3), (1, 6, "c", 1), (4, 2, "c", 2)]
+    assert sorted((r.doc_id, r.dl) for r in index.docs.collect()) == [(1, 6), (2, 0), (3, 0), (4, 2)]
+    q = spark.createDataFrame([(9, "a c"), (8, "b")], "query_id long, text string")
+    few = sorted(map(tuple, bm25.scores(index, q, "query_id").collect()))
+    monkeypatch.setattr(bm25, "MOST_TERMS", 1)
+    assert len(few) == 3 and sorted(map(tuple, bm25.scores(index, q, "query_id").collect())) == few
+
+
+def test_padding_ranks_before_negative_scores(spark):
+    docs = spark.createDataFrame([(i, "") for i in range(30)], "doc_id long, text string")
+    q = spark.createDataFrame([(9, ""), (8, "")], "query_id long, text string")
+    scored = spark.createDataFrame([(9, i, -1.0) for i in range(25)] + [(9, 29, 2.0)], "query_id long, doc_id long, score double")
+    got = {k: [r.doc_id for r in bm25.padded(scored, q, docs, "query_id", 4).where(f"query_id = {k}").orderBy("rank").collect()] for k in (8, 9)}
+    assert got == {8: [0, 1, 2, 3], 9: [29, 25, 26, 27]}
+
+
+def test_order_statistic(spark):
+    v = spark.createDataFrame([("a", float(x)) for x in [5, 1, 1, 9, 3, 3, 3]] + [("b", 2.0), ("a", None)], "k string, x double")
+    got = {r.k: (r.n, r.median, r.p) for r in stats.order_statistic(v, "k", "x", 0.8).collect()}
+    assert got == {"a": (7, 3.0, 5.0), "b": (1, 2.0, 2.0)}
+
+
 def test_metrics(spark):
     run = run_of(spark, {"q1": ["a", "b", "c"], "q2": ["x"], "q3": ["a"]})
     labels = spark.createDataFrame([("q1", "b", 2), ("q1", "z", 1), ("q2", "x", 0), ("q4", "a", 1)], "query_id string, doc_id string, grade int")
