@@ -119,7 +119,7 @@ def learns(remainder: int, modulus: int, holds: bool):
 class WordHashes(dict):
     """64-bit hashes of words, kept while they fit; a full cache starts afresh, so memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

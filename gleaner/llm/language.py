@@ -72,7 +72,7 @@ def fit(texts: list[bytes], languages: list[str], landmarks: int = 256, ridge: f
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.concatenate([scaled(*presence(texts[i : i + 256])) @ marks.T for i in range(0, len(texts), 256)]) @ root
+    z = np.concatenate([scaled(*presence(texts[i : i + 64])) @ marks.T for i in range(0, len(texts), 64)]) @ root
     y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     w = np.array([len(texts) / (len(names) * len(by[l])) for l in languages])  # every language weighs the same
     beta = np.linalg.solve((z * w[:, None]).T @ z + ridge * len(texts) * np.eye(z.shape[1]), (z * w[:, None]).T @ y)
