@@ -93,6 +93,18 @@ def top(scored: DataFrame, key: str, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def named_only(scored: DataFrame, named: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The scores of the documents that bear a number which the query names; all of them for a query that names none, or none that a document bears.
+
+    scored: key, doc_id, score; named: key, number; docs: doc_id, number. Weights stay those of the whole corpus.
+    """
+    numbers = docs.select("doc_id", "number")
+    present = named.join(numbers.select("number").distinct(), "number", "left_semi")
+    inside = scored.join(numbers, "doc_id").join(present, [key, "number"], "left_semi")
+    free = scored.join(present.select(key).distinct(), key, "left_anti")
+    return inside.select(*scored.columns).union(free.select(*scored.columns))
+
+
 def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, key: str, k: int = 10) -> DataFrame:
     """Like top, but documents with score 0 (smallest ids first) fill a query's list up to k, and rank before those below zero.
 

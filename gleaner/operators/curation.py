@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import sigmoid
+from gleaner.functions.text import cyrillic_share, sigmoid
 
 
 def shuffled(*parts: Column, seed: int = 17) -> Column:
@@ -14,11 +14,18 @@ def shuffled(*parts: Column, seed: int = 17) -> Column:
 
 
 def split_acts(acts: DataFrame, stratum: str, weight: str, shares: dict[str, float], seed: int = 17) -> DataFrame:
-    """doc_id, part: in each stratum, acts in md5 order go to the first part until its share of the weight is reached, then to the next, the rest to train."""
-    w = Window.partitionBy(stratum).orderBy("_o", "doc_id")
-    rows = acts.withColumn("_o", shuffled(F.col("doc_id"), seed=seed))
-    rows = rows.withColumn("_before", F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("_all", F.sum(weight).over(Window.partitionBy(stratum)))
+    """doc_id, part: in each stratum, acts in md5 order go to the first part until its share of the weight is reached, then to the next, the rest to train.
+
+    The first three digits of the md5 cut a stratum into ranges: sums run within a range, and the sums of the ranges
+    (at most 4096 a stratum) give what lies before it, so no task gets a whole stratum.
+    """
+    rows = acts.withColumn("_o", shuffled(F.col("doc_id"), seed=seed)).withColumn("_range", F.substring("_o", 1, 3))
+    sums = rows.groupBy(F.col(stratum).alias("_s"), F.col("_range").alias("_r")).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_w"))
+    w = Window.partitionBy("_s")
+    ranges = sums.select("_s", "_r", (F.sum("_w").over(w.orderBy("_r")) - F.col("_w")).alias("_earlier"), F.sum("_w").over(w).alias("_all"))
+    inside = Window.partitionBy(stratum, "_range").orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(ranges, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    rows = rows.withColumn("_before", F.col("_earlier") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     part, edge = None, 0.0
     for name, share in shares.items():
         edge += share
@@ -81,10 +88,32 @@ def capped(rows: DataFrame, by: str, order: list, most: int = 12) -> DataFrame:
 
 def forgetting_sample(docs: DataFrame, relevant: DataFrame, size: int = 20_000, seed: int = 17) -> DataFrame:
     """All relevant documents, filled up to `size` with others in md5 order."""
-    rel = docs.join(relevant.select("doc_id").distinct().withColumn("_rel", F.lit(1)), "doc_id", "left")
-    rel = rel.withColumn("_fill", F.when(F.col("_rel") == 1, F.lit("")).otherwise(shuffled(F.col("doc_id"), seed=seed)))
-    count = rel.where("_rel = 1").count()
-    return rel.orderBy("_fill", "doc_id").limit(max(size, count)).drop("_rel", "_fill")
+    known = relevant.select("doc_id").distinct()
+    kept, others = (docs.join(known, "doc_id", how) for how in ("left_semi", "left_anti"))
+    fill = others.withColumn("_fill", shuffled(F.col("doc_id"), seed=seed)).orderBy("_fill", "doc_id").limit(max(size - kept.count(), 0))
+    return kept.unionByName(fill.drop("_fill"))
+
+
+def build_corpus(wanted: DataFrame, found: DataFrame, least_chars: int = 500, least_cyrillic: float = 0.90) -> DataFrame:
+    """number, date, title, issue, chars, cyrillic, text, reason: each wanted act once, with its text from the first of its issues that holds it.
+
+    wanted: number, date, title, issue (an act is listed once for each issue); found: issue, number, text. Acts that
+    no issue holds give no row. reason: why the act is rejected, else null.
+    """
+    texts = found.select("issue", "number", "text").join(wanted, ["issue", "number"])
+    first = texts.groupBy("number", "date").agg(F.min_by(F.struct("title", "issue", "text"), F.struct("issue", "text")).alias("a")).select("number", "date", "a.*")
+    first = first.withColumns({"chars": F.length("text").cast("long"), "cyrillic": F.round(cyrillic_share(F.col("text")), 3)})
+    reason = F.when(F.col("cyrillic") < least_cyrillic, "мало кириллицы").when(F.col("chars") < least_chars, "слишком короткий")
+    return first.select("number", "date", "title", "issue", "chars", "cyrillic", "text", reason.alias("reason"))
+
+
+def train_report(**parts: DataFrame) -> DataFrame:
+    """part, state, n: the rows of every part of the training data by state (column `state`)."""
+    out = None
+    for name, rows in parts.items():
+        one = rows.groupBy("state").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "state", "n")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def referential_faults(queries: DataFrame, corpus: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes, in the shared one that spark.checkpoint.dir names; a local session without it gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="gleaner-")
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under its name, with the SQL that must give the same rows."""
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.operators import curation
-from gleaner.plans.base import Literal, chunks, documents, query, questions, read, run_words, text_qrels
+from gleaner.plans.base import Literal, chunks, documents, query, questions, read, run_stems, run_words, scratch, text_qrels
 from gleaner.sources import files, web
 
 QRELS_LINES = Literal("line_no long, value string", [
@@ -87,9 +86,7 @@ def _(spark, d):
 
 @query("a16_listing_union", "SELECT source AS number, lang AS issue, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def _(spark, d):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    first = documents(spark, d).withColumn("r", F.row_number().over(w)).where("r = 1")
-    return first.select(F.col("source").alias("number"), F.col("lang").alias("issue"), "doc_id")
+    return documents(spark, d).groupBy(F.col("source").alias("number"), F.col("lang").alias("issue")).agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("a17_beir_tables", "SELECT 'corpus' AS part, count(*) AS n FROM documents UNION ALL SELECT 'queries', count(*) FROM benchmark UNION ALL SELECT 'qrels', count(*) FROM qrels")
@@ -135,6 +132,50 @@ def _(spark, d):
     return documents(spark, d).select("doc_id").join(read(spark, d, "labels"), "doc_id", "left_anti")
 
 
+@query("b9_append_new", "SELECT doc_id, md5(text) AS digest FROM documents")
+def _(spark, d):
+    """The labelled documents are there already when the run is taken up again: every document stands in the table once."""
+    path, rows = scratch(spark, "b9"), documents(spark, d).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    files.append_new(rows.join(read(spark, d, "labels"), "doc_id", "left_semi"), path, ["doc_id"])
+    files.append_new(rows, path, ["doc_id"])
+    return spark.read.parquet(path)
+
+
+@query("a1_jsonl_scan", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def _(spark, d):
+    """Documents as JSON lines with a blank line after each, read again."""
+    path = scratch(spark, "a1")
+    documents(spark, d).select(F.explode(F.array(F.to_json(F.struct("doc_id", "text", "lang")), F.lit(""))).alias("value")).write.text(path)
+    return files.read_jsonl(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang")
+
+
+@query("a2_jsonl_gz_scan", "SELECT doc_id, md5(text) AS digest, n_chars FROM documents")
+def _(spark, d):
+    path = scratch(spark, "a2")
+    documents(spark, d).select("doc_id", "text", "n_chars").write.option("compression", "gzip").json(path)
+    return files.read_jsonl(spark, path, "doc_id long, text string, n_chars long").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "n_chars")
+
+
+_RUN_ROWS = "SELECT '{0}' AS run, CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, rank FROM {1} WHERE rank <= 10"
+
+
+@query("a4_run_scan", _RUN_ROWS.format("bm25-prefix", "run_stems") + " UNION ALL " + _RUN_ROWS.format("bm25-words-v1", "run_words"))
+def _(spark, d):
+    """Two runs of one config, written and read again; the run of another config isn't read."""
+    folder = scratch(spark, "a4")
+    for config, name, run in (("base", "bm25:words+v1", run_words), ("base", "bm25:prefix", run_stems), ("size-256", "bm25:words+v1", run_words)):
+        files.write_run(run(spark, d, 10), folder, config, name)
+    return files.read_runs(spark, folder, "base")
+
+
+@query("a18_external_qrels", "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, grade - 1 AS grade FROM qrels WHERE grade > 1")
+def _(spark, d):
+    """Labels as JSON lines, a grade less each; those of score 0 aren't read."""
+    path, q = scratch(spark, "a18"), text_qrels(spark, d)
+    q.select(F.col("query_id").cast("string").alias("query-id"), F.col("doc_id").cast("string").alias("corpus-id"), (F.col("grade") - 1).alias("score")).write.json(path)
+    return files.read_qrels_jsonl(spark, path)
+
+
 PAGES = [
     (1, ["Колонтитул", "УКАЗАНИЕ БАНКА РОССИИ", "О порядке", "№ 5348-У", "Текст пер-", "вый", "1"]), (2, ["Колонтитул", "продолжение", "Инструкция", "Банка России", "№ 138-И", "2"]),
     (3, ["Колонтитул", "ПОЛОЖЕНИЕ", "О правилах", "учета", "", "тело"]), (4, ["Колонтитул", "№ 590–П", "конец"]),
@@ -197,9 +238,21 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_i
 SELECT reason, count(*) AS n FROM s GROUP BY reason""")
 def _(spark, d):
     """The first issue that holds an act gives its text; short ones are rejected; counts by reason."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    reason = F.when(F.row_number().over(w) > 1, "later issue").when(F.col("n_chars") < 500, "too short").otherwise("kept")
-    return documents(spark, d).withColumn("reason", reason).groupBy("reason").agg(F.count("*").alias("n"))
+    acts = documents(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"), F.min_by("n_chars", "doc_id").alias("chars"))
+    later = F.struct(F.lit("later issue").alias("reason"), (F.col("n") - 1).alias("n"))
+    first = F.struct(F.when(F.col("chars") < 500, "too short").otherwise("kept").alias("reason"), F.lit(1).cast("long").alias("n"))
+    return acts.select(F.inline(F.array(later, first))).where("n > 0").groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+@query("c10_build_corpus_acts", """
+WITH f AS (SELECT source AS number, lang AS issue, arg_min(text, doc_id) AS text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), k AS (SELECT number, min(issue) AS issue FROM f GROUP BY number)
+SELECT number, issue, length(text) AS chars, md5(text) AS digest, CASE WHEN length(text) < 500 THEN 'слишком короткий' END AS reason FROM k JOIN f USING (number, issue)""")
+def _(spark, d):
+    """Sources stand for acts and languages for issues; the texts aren't Russian, so no share of Cyrillic is asked for."""
+    docs = documents(spark, d).where("source is not null and lang is not null").groupBy(F.col("source").alias("number"), F.col("lang").alias("issue"))
+    found = docs.agg(F.min_by("text", "doc_id").alias("text"))
+    wanted = found.select("number", F.lit("01.01.2020").alias("date"), F.lit("О правилах").alias("title"), "issue")
+    return curation.build_corpus(wanted, found, least_cyrillic=0.0).select("number", "issue", "chars", F.md5(F.col("text").cast("binary")).alias("digest"), "reason")
 
 
 @query("c13_catalog_profile", "SELECT year(o_orderdate) AS year, o_orderpriority AS kind, count(*) AS n, count(DISTINCT o_custkey) AS issues, round(quantile_cont(o_totalprice, 0.5), 6) AS median FROM orders GROUP BY ALL")

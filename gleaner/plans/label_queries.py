@@ -415,10 +415,10 @@ ruled AS (SELECT *, CASE WHEN doc_id = gold THEN 'gold' WHEN NOT train THEN 'not
 picked AS (SELECT *, CASE WHEN r IS NULL AND sum((r IS NULL)::INT) OVER (PARTITION BY query_id ORDER BY place) > 2 THEN 'surplus' ELSE coalesce(r, 'kept') END AS reason FROM ruled)"""
 
 
-def candidates(spark, d):
+def candidates(spark, d, shift=2.0):
     v = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "label")
     gold = vector_qrels(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("gold"))
-    run = vector_run(spark, d).select("query_id", "doc_id", F.col("rank").alias("place"), (8 * F.col("score") - 2).alias("score"))
+    run = vector_run(spark, d).select("query_id", "doc_id", F.col("rank").alias("place"), (8 * F.col("score") - shift).alias("score"))
     run = run.join(gold, "query_id").join(v.withColumnRenamed("label", "act"), "doc_id")
     return run.join(v.select(F.col("doc_id").alias("gold"), F.col("label").alias("gold_act")), "gold").withColumn("gold_score", F.lit(3.0)).withColumn("train", F.col("doc_id") % 3 != 0)
 
@@ -438,6 +438,34 @@ def _(spark, d):
     return curation.negative_columns(curation.pick_negatives(candidates(spark, d)))
 
 
+_WEAKER = _CANDIDATES.replace("8 * r.score - 2 AS score", "8 * r.score - 5 AS score")
+
+
+@query("j7_negative_columns_weaker", "WITH" + _WEAKER + ", k AS (SELECT query_id, list(doc_id ORDER BY place) AS n FROM picked WHERE reason = 'kept' GROUP BY query_id) SELECT query_id, n[1] AS negative_1, n[2] AS negative_2 FROM k WHERE len(n) >= 2")
+def _(spark, d):
+    """The same with a judge that gives candidates less, so that there are negatives to lay out."""
+    return curation.negative_columns(curation.pick_negatives(candidates(spark, d, 5.0)))
+
+
+@query("j15_train_report", "WITH" + _WEAKER + "," + _SPLIT + """,
+u AS (SELECT conv_id * 2 AS doc_id, text, conv_id * 100 + turn AS query_id FROM conversations WHERE role = 'user'),
+s AS (SELECT u.query_id, u.text, CASE WHEN d.text IS NULL THEN 'no gold' WHEN trim(d.text) = '' THEN 'blank gold' END AS reason FROM u LEFT JOIN documents d USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY reason, text ORDER BY query_id) AS o FROM s)
+SELECT 'split' AS part, part AS state, count(*) AS n FROM split GROUP BY ALL
+UNION ALL SELECT 'pairs', CASE WHEN reason IS NULL AND o > 1 THEN 'repeated' ELSE coalesce(reason, 'kept') END AS state, count(*) FROM o GROUP BY ALL
+UNION ALL SELECT 'negatives', reason AS state, count(*) FROM picked GROUP BY ALL
+UNION ALL SELECT 'leaked', 'in train and a run', count(*) AS n FROM (SELECT doc_id FROM split WHERE part = 'train' INTERSECT SELECT doc_id FROM run_words WHERE rank = 1) HAVING count(*) > 0""")
+def _(spark, d):
+    """Splits, pairs, negatives and leaks of the training data in one table."""
+    groups, c = split(spark, d), read(spark, d, "conversations").where("role = 'user'")
+    pairs = curation.build_pairs(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), (F.col("conv_id") * 2).alias("doc_id"), "text"), documents(spark, d))
+    leaks = curation.leaked(groups.where("part = 'train'"), run_words(spark, d, 1))
+    return curation.train_report(
+        split=groups.select(F.col("part").alias("state")), pairs=pairs.select(F.col("reason").alias("state")),
+        negatives=curation.pick_negatives(candidates(spark, d, 5.0)).select(F.col("reason").alias("state")), leaked=leaks.select(F.lit("in train and a run").alias("state")),
+    )
+
+
 @query("j8_only_train_acts", "WITH" + _SPLIT + ", s AS (SELECT doc_id FROM run_words WHERE rank <= 3) SELECT count(*) AS outside FROM s WHERE doc_id NOT IN (SELECT doc_id FROM split WHERE part = 'train')")
 def _(spark, d):
     train = split(spark, d).where("part = 'train'").select("doc_id")

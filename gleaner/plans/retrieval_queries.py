@@ -168,6 +168,21 @@ def _(spark, d):
     return q.join(allowed, "query_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(0))).select("query_id", "allowed", kind.alias("kind"))
 
 
+_NAMES = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 1 THEN 'src99' WHEN 2 THEN 'src' || (item_id % 10) END AS number FROM benchmark"
+
+
+@query("g19_filtered_search", f"""
+WITH named AS (SELECT * FROM ({_NAMES}) WHERE number IN (SELECT source FROM documents)),
+kept AS (SELECT s.* FROM words_scores s JOIN documents d USING (doc_id) LEFT JOIN named n USING (query_id) WHERE n.number IS NULL OR n.number = d.source)
+SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kept) WHERE rank <= 10""")
+def _(spark, d):
+    """A third of the questions names a source that has documents, a third one that has none, a third no source."""
+    number = F.when(F.col("query_id") % 3 == 1, "src99").when(F.col("query_id") % 3 == 2, F.concat(F.lit("src"), F.col("query_id") % 10))
+    named = questions(spark, d).select("query_id", number.alias("number")).where("number is not null")
+    docs = documents(spark, d).select("doc_id", F.col("source").alias("number"))
+    return bm25.top(bm25.named_only(bm25_scores(spark, d), named, docs, "query_id"), "query_id", 10).select(RUN)
+
+
 @query("g20_alien_places", """
 WITH top AS (SELECT r.query_id, r.rank, d.source, d.lang FROM run_words r JOIN documents d USING (doc_id) WHERE rank <= 10),
 head AS (SELECT query_id, source, lang FROM top WHERE rank = 1)

@@ -32,6 +32,13 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return parse_qrels(read_lines(spark, path))
 
 
+def read_qrels_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, doc_id, grade from JSON lines of query-id, corpus-id and score; only scores above 0, the last row of a pair wins."""
+    rows = spark.read.schema("`query-id` string, `corpus-id` string, score int").json(path).withColumn("line_no", F.monotonically_increasing_id())
+    pairs = rows.where("score > 0").groupBy(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"))
+    return pairs.agg(F.max_by("score", "line_no").alias("grade"))
+
+
 def write_qrels(qrels: DataFrame, path: str) -> None:
     """Tab-separated with a header, sorted, grades of 0 and less left out."""
     rows = qrels.where("grade > 0").select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("grade").alias("score"))
