@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = 3  # characters of a pseudo-token where offsets are needed
+TRIM = 3  # pseudo-tokens that a chunk too long loses beyond its cap: it is trimmed up to four times, each time to one less
 RATIO = 3.2  # characters of a token where lengths are counted; the two differ, as in the data this must match
 
 
@@ -39,13 +40,21 @@ def windows(docs: DataFrame, size: int = 512, overlap: float = 0.15, step: int =
     The rows of a text come from its length alone, so texts aren't copied before they are cut. Blank windows drop
     out and positions close up.
     """
-    hop = max(1, size - int(size * overlap))
+    return _placed(_cut(docs, F.lit(size), F.lit(max(1, size - int(size * overlap))), step))
+
+
+def _cut(docs: DataFrame, size: Column, hop: Column, step: int = STEP) -> DataFrame:
+    """A row for each window of `size` tokens, one every `hop`: i, char_start, char_end, text, and the other columns of docs."""
     n = F.ceil(F.length("text") / step).cast("int")
     last = F.greatest(F.lit(0), F.ceil((n - size) / hop)).cast("int")
-    at = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    at = docs.where(F.length("text") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("i") * hop * step
-    end = F.least(start + size * step, F.length("text"))
-    cut = at.select("doc_id", "i", start.alias("char_start"), end.alias("char_end"), F.substring("text", start + 1, end - start).alias("text"))
+    at = at.withColumns({"char_start": start.cast("int"), "char_end": F.least(start + size * step, F.length("text")).cast("int")})
+    return at.withColumn("text", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+
+
+def _placed(cut: DataFrame) -> DataFrame:
+    """Stripped windows that aren't blank, with their places in the document."""
     cut = cut.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1
     return cut.select("doc_id", place.alias("position"), "char_start", "char_end", "text")
@@ -113,9 +122,40 @@ def header(kind: Column, number: Column, date: Column, title: Column, section: C
     return F.when(room <= 4, F.concat(stem, tail)).otherwise(F.concat(stem, F.lit(". "), name, tail))
 
 
+def _heading(act: Column, section: Column, size: int) -> Column:
+    """The heading of an act's chunks: two fifths of a chunk at most, so that the text gets the rest."""
+    return header(*(act[c] for c in ("kind", "number", "date", "title")), section, F.lit(max(16, int(size * 0.4))))
+
+
+def headed_windows(acts: DataFrame, size: int = 512, overlap: float = 0.15) -> DataFrame:
+    """Like windows, each under its act's heading, whose tokens are taken off the budget. acts: doc_id, text, kind, number, date, title."""
+    acts = acts.withColumn("head", F.concat(_heading(F.struct(*acts.columns), F.lit(""), size), F.lit("\n\n")))
+    left = F.lit(size) - count_tokens(F.col("head"))
+    acts = acts.select("doc_id", "text", "head", F.greatest(F.lit(32), left).alias("budget"), F.greatest(F.lit(1), left).alias("most"))
+    cut = _cut(acts, F.col("budget"), F.greatest(F.lit(1), F.col("budget") - int(size * overlap)))
+    over = F.ceil(F.length("text") / STEP) > F.col("most")
+    kept = F.when(over, F.substring(F.col("text"), F.lit(1), F.greatest(F.lit(0), F.col("most") - TRIM) * STEP)).otherwise(F.col("text"))
+    cut = cut.withColumn("text", kept).withColumn("char_end", F.col("char_start") + F.length("text"))
+    return _placed(cut.withColumn("text", F.concat("head", "text")))
+
+
+def headed(units: DataFrame, acts: DataFrame, size: int = 512, section: bool = True) -> DataFrame:
+    """The units with `head`, the heading of their act and section, and `base`, that of the act alone, for pack_units.
+
+    acts: doc_id, kind, number, date, title. section: whether the heading names the section.
+    """
+    acts = acts.select("doc_id", F.struct("kind", "number", "date", "title").alias("act"))
+    act, none = F.col("act"), F.lit("")
+    both = units.join(acts, "doc_id")
+    return both.withColumns({"head": _heading(act, F.col("section") if section else none, size), "base": _heading(act, none, size)}).drop("act")
+
+
 def pack_units(units: DataFrame, size: int = 512, overlap: float = 0.15) -> DataFrame:
     """doc_id, position, section, units, char_start, char_end, text: clauses gathered into chunks within the budget.
 
+    Units that carry headings (see headed) get them in front of every chunk, and the budget is what the heading of
+    the act leaves of `size`, 32 at least. A chunk of more pseudo-tokens than its own heading leaves room for is cut TRIM below that.
+
     A chunk closes before the clause that doesn't fit or changes the section; its last clauses, as far as they fit
     into the overlap, open the next one (unless they are all of it). A clause beyond the budget is cut by windows.
     The choice depends on all clauses before, so each document is walked in order; a document is one group.
@@ -130,13 +170,16 @@ def pack_units(units: DataFrame, size: int = 512, overlap: float = 0.15) -> Data
 
         out, buf, load = [], [], 0
         doc = pdf.doc_id.iloc[0]
+        budget = max(32, size - tokens(pdf["base"].iloc[0] + "\n\n")) if "head" in pdf else size
 
-        def emit(text, section, label, start, end):
-            most = size * STEP  # the hard cap, in the characters of pseudo-tokens
-            if len(text) > most:
-                text, end = text[:most], start + most
-            if text.strip():
-                out.append((doc, len(out), section, label, start, end, text.strip()))
+        def emit(text, unit, label, start, end):
+            prefix = unit.head + "\n\n" if "head" in pdf else ""
+            most = max(1, size - tokens(prefix)) if prefix else size
+            if -(-len(text) // STEP) > most:
+                text = text[: max(0, most - TRIM) * STEP]
+                end = start + len(text)
+            if (full := (prefix + text).strip()):
+                out.append((doc, len(out), unit.section, label, start, end, full))
 
         def flush():
             nonlocal buf, load
@@ -144,7 +187,7 @@ def pack_units(units: DataFrame, size: int = 512, overlap: float = 0.15) -> Data
                 return
             named = [u.number for u in buf if u.number]
             label = f"{named[0]}–{named[-1]}" if len(named) > 1 else "".join(named)
-            emit("\n".join(u.text for u in buf), buf[0].section, label, buf[0].start, buf[-1].end)
+            emit("\n".join(u.text for u in buf), buf[0], label, buf[0].start, buf[-1].end)
             k, acc = len(buf), 0
             while k and acc + tokens(buf[k - 1].text) <= keep:
                 k -= 1
@@ -153,16 +196,16 @@ def pack_units(units: DataFrame, size: int = 512, overlap: float = 0.15) -> Data
 
         for u in pdf.sort_values("unit").itertuples():
             n = tokens(u.text)
-            if n > size:
+            if n > budget:
                 flush()
-                hop, pieces = max(1, size - keep), -(-len(u.text) // STEP)
+                hop, pieces = max(1, budget - keep), -(-len(u.text) // STEP)
                 for i in range(0, pieces, hop):
-                    s, e = i * STEP, min((i + size) * STEP, len(u.text))
-                    emit(u.text[s:e], u.section, u.number, u.start + s, u.start + e)
-                    if i + size >= pieces:
+                    s, e = i * STEP, min((i + budget) * STEP, len(u.text))
+                    emit(u.text[s:e], u, u.number, u.start + s, u.start + e)
+                    if i + budget >= pieces:
                         break
                 continue
-            if buf and (load + n > size or buf[0].section != u.section):
+            if buf and (load + n > budget or buf[0].section != u.section):
                 flush()
             buf.append(u)
             load += n

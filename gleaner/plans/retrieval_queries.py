@@ -364,6 +364,39 @@ def _(spark, d):
     return HEAD.df(spark).select("id", chunking.header(*(F.col(c) for c in ("kind", "number", "date", "title", "section", "most"))).alias("head"))
 
 
+def acts_of(docs):
+    """Documents with what a heading names; the source stands for the number."""
+    return docs.select("doc_id", "text", F.lit("ПОЛОЖЕНИЕ").alias("kind"), F.col("source").alias("number"), F.lit("01.01.2020").alias("date"), F.lit("Положение о правилах").alias("title"))
+
+
+_ACTS = """acts AS (SELECT *, greatest(32, 512 - cost) AS budget, greatest(1, 512 - cost) AS most FROM (SELECT *, greatest(1, CAST(floor(length(head) / 3.2) AS BIGINT)) AS cost
+ FROM (SELECT doc_id, text, 'Положение Банка России № ' || source || ' от 01.01.2020. о правилах' || chr(10) || chr(10) AS head FROM documents))),
+cuts AS (SELECT *, i * greatest(1, budget - 76) * 3 AS s FROM (SELECT *, unnest(range(0, 1 + CAST(greatest(0, ceil((ceil(length(text) / 3.0) - budget) / greatest(1, budget - 76))) AS BIGINT))) AS i FROM acts WHERE length(text) > 0)),
+headed AS (SELECT doc_id, i, s, least(s + budget * 3, length(text)) AS e, text AS whole, head, budget, most FROM cuts)"""
+
+
+@query("d9_headed_windows", "WITH " + _ACTS + r"""
+SELECT doc_id, CAST(i AS INTEGER) AS position, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, md5(regexp_replace(head || substring(whole, s + 1, e - s), '^\s+|\s+$', '', 'g')) AS digest FROM headed""")
+def _(spark, d):
+    rows = chunking.headed_windows(acts_of(documents(spark, d)))
+    return rows.select("doc_id", "position", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_PLAIN = r"NOT regexp_matches(text, '\.\s*\.\s*\.') AND NOT regexp_matches(text, '(^|\n)\d+(\.\d+)*\.\s') AND regexp_matches(text, '\S')"
+
+
+@query("d9_headed_structure", "WITH " + _ACTS + rf""",
+few AS (SELECT doc_id, 0 AS i, 0 AS s, CASE WHEN ceil(length(text) / 3.0) > most THEN greatest(0, most - 3) * 3 ELSE length(text) END AS e, text AS whole, head FROM acts WHERE greatest(1, floor(length(text) / 3.2)) <= budget AND {_PLAIN}),
+many AS (SELECT h.doc_id, i, s, e, whole, h.head FROM headed h JOIN acts USING (doc_id) WHERE greatest(1, floor(length(text) / 3.2)) > h.budget AND {_PLAIN})
+SELECT doc_id, CAST(i AS INTEGER) AS position, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, md5(regexp_replace(head || substring(whole, s + 1, e - s), '^\s+|\s+$', '', 'g')) AS digest FROM (SELECT * FROM few UNION ALL SELECT * FROM many)""")
+def _(spark, d):
+    """Texts without numbered lines and dotted ones, which SQL can follow: a single unit, kept whole or cut by windows."""
+    acts = acts_of(documents(spark, d))
+    plain = acts.where(r"not text rlike '\\.\\s*\\.\\s*\\.' and not text rlike '(^|\\n)\\d+(\\.\\d+)*\\.\\s' and text rlike '\\S'")
+    rows = chunking.pack_units(chunking.headed(chunking.parse_units(plain), acts))
+    return rows.select("doc_id", "position", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("d8_chunks_by_structure")
 def _(spark, d):
     return chunking.pack_units(chunking.parse_units(documents(spark, d)))

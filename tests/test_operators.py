@@ -139,6 +139,66 @@ def test_structure_chunks(spark):
     assert second[0].char_start == 0 and second[-1].char_end == 9000
 
 
+def test_headed_chunks(spark):
+    lines = "Глава 1. Общие положения\n" + "\n".join(f"{i}. " + "слово " * 20 for i in range(1, 9)) + "\nПриложение 1 Форма\n1. " + "строка " * 400
+    rows = [(1, lines, "УКАЗАНИЕ", "590-П", "28.06.2017", "О порядке"), (2, "коротко", "ПОЛОЖЕНИЕ", "1-П", "01.01.2020", "О" * 900), (3, "", "ПИСЬМО", "7-Т", "02.02.2002", "")]
+    acts = spark.createDataFrame(rows, "doc_id long, text string, kind string, number string, date string, title string")
+    units = chunking.parse_units(acts.select("doc_id", "text"))
+    got = chunking.pack_units(chunking.headed(units, acts, 256), 256).orderBy("doc_id", "position").collect()
+    first = [r for r in got if r.doc_id == 1]
+    stem = "Указание Банка России № 590-П от 28.06.2017. О порядке"
+    assert {r.section for r in first} == {"Глава 1. Общие положения", "Приложение 1. Форма"}
+    assert all(r.text.startswith(f"{stem}. {r.section}\n\n") for r in first)
+    assert all(len(r.text) <= 256 * 3.2 + 8 for r in got)
+    # every character of the units is in a chunk
+    covered = set().union(*(range(r.char_start, r.char_end) for r in first))
+    assert all(set(range(u.start, u.end)) <= covered for u in units.where("doc_id = 1").collect())
+    (second,) = (r for r in got if r.doc_id == 2)
+    assert second.text.endswith("О…\n\nкоротко") and len(second.text) < 256 * 3.2 * 0.5 and {r.doc_id for r in got} == {1, 2}
+    none = chunking.pack_units(chunking.headed(units, acts, 256, section=False), 256).where("doc_id = 1").collect()
+    assert all(r.text.startswith(stem + "\n\n") for r in none)
+    windows = chunking.headed_windows(acts, 256).orderBy("doc_id", "position").collect()
+    assert all(r.text.startswith((stem + "\n\n", "Положение Банка России № 1-П")) for r in windows) and windows[0].char_start == 0
+
+
+def test_chunk_beyond_its_cap_is_trimmed(spark):
+    docs = spark.createDataFrame([(1, "x" * 800)], "doc_id long, text string")
+    (r,) = chunking.pack_units(chunking.parse_units(docs), 256).collect()  # 250 tokens by length, 267 by offsets
+    assert (r.char_end, len(r.text)) == (253 * 3, 253 * 3)
+
+
+def test_build_corpus(spark):
+    wanted = spark.createDataFrame([("1-П", "01.01.2020", "А", i) for i in ("v1", "v2", "v3")] + [("2-П", "01.01.2020", "Б", "v1"), ("3-П", "01.01.2020", "В", "v1"), ("4-П", "01.01.2020", "Г", "v9")], "number string, date string, title string, issue string")
+    found = spark.createDataFrame([("v3", "1-П", "поздний"), ("v2", "1-П", "текст " * 100), ("v1", "2-П", "мал"), ("v1", "3-П", "latin text"), ("v1", "8-П", "чужой")], "issue string, number string, text string")
+    got = {r.number: (r.issue, r.chars, r.reason) for r in curation.build_corpus(wanted, found).collect()}
+    assert got == {"1-П": ("v2", 600, None), "2-П": ("v1", 3, "слишком короткий"), "3-П": ("v1", 10, "мало кириллицы")}
+
+
+def test_named_only(spark):
+    scored = spark.createDataFrame([(q, d, 1.0) for q in (1, 2, 3) for d in (10, 11)], "query_id int, doc_id int, score double")
+    named = spark.createDataFrame([(1, "a"), (1, "zz"), (2, "zz")], "query_id int, number string")
+    docs = spark.createDataFrame([(10, "a"), (11, "b"), (12, None)], "doc_id int, number string")
+    got = sorted((r.query_id, r.doc_id) for r in bm25.named_only(scored, named, docs, "query_id").collect())
+    assert got == [(1, 10), (2, 10), (2, 11), (3, 10), (3, 11)]
+
+
+def test_split_of_null_stratum_and_weight(spark):
+    acts = spark.createDataFrame([(i, None if i % 2 else "a", None if i % 10 == 0 else 1) for i in range(400)], "doc_id long, kind string, size int")
+    got = curation.split_acts(acts, "kind", "size", {"dev": 0.25}).collect()
+    assert len(got) == 400 and len({r.doc_id for r in got}) == 400
+    for kind in (None, "a"):
+        held = sum(1 for r in got if r.kind == kind and r.part == "dev" and r.doc_id % 10)
+        whole = sum(1 for r in got if r.kind == kind and r.doc_id % 10)
+        assert held == -(-whole // 4)
+
+
+def test_qrels_jsonl(spark, tmp_path):
+    from gleaner.sources import files
+
+    (tmp_path / "q.jsonl").write_text('{"query-id": "q1", "corpus-id": "c1", "score": 1}\n\n{"query-id": "q1", "corpus-id": "c2", "score": 0}\n{"query-id": "q1", "corpus-id": "c1", "score": 2}\n')
+    assert [tuple(r) for r in files.read_qrels_jsonl(spark, str(tmp_path / "q.jsonl")).collect()] == [("q1", "c1", 2)]
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 0.0]), (3, [-1.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
     got = dense.top_k(v.where("vec_id = 0"), v, 3).orderBy("rank").collect()
