@@ -16,11 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, unused
+from gleaner.llm.common import checkpoint
 
 PATH = "array<struct<left:string,right:string>>"
 NODE = "g string, size long, level int, index long, first long, digest string, src long"
 UPPER = f"g string, src long, size long, level int, index long, first long, subroot string, root string, path {PATH}"
+#: Names of the columns that a manifest makes.
+OWN = {"g", "digest", "salt", "at", "run", "leaf", "subroot", "root", "path", "proof"}
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -250,12 +252,10 @@ def manifest(docs: DataFrame, group: str = "lang", key: str = "doc_id", fields:
     have a frame of their own, so they differ from empty texts; equal rows are leaves of their own; no rows give none.
     """
     carried = carried or {}
-    taken = docs.select(group, key)
-    (g, *others) = unused(taken, "g", *carried)
-    if others != list(carried) or {group, key} & {"g", "digest", "salt", "at", "run", "subroot", "root", "path"}:
-        raise ValueError("a column's name is one of the manifest's own")
+    if OWN & {x.lower() for x in (group, key, *carried)}:
+        raise ValueError("group, key and carried columns mustn't have a name of the manifest's own columns")
     tagged = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
-    leaves = checkpoint(docs.select(tagged.alias(g), key, group, leaf(*fields).alias("digest"), *(c.alias(n) for n, c in carried.items())))
+    leaves = checkpoint(docs.select(tagged.alias("g"), key, group, leaf(*fields).alias("digest"), *(c.alias(n) for n, c in carried.items())))
     groups = Tree(leaves, [key], arity, run_rows, part_rows, fan)
     whole = Tree(groups.roots.select(F.lit("").alias("g"), F.col("g").alias("name"), "digest", "size"), ["name"], arity, run_rows, part_rows, fan)
     none = F.array().cast(PATH)
