@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.plain import PLAIN
 from gleaner.functions.stemmer import tokenize
 from gleaner.functions.text import let
 
@@ -32,6 +33,33 @@ def term_counts(tokens) -> F.Column:
     return let(F.sort_array(tokens), runs)
 
 
+TERMS = "terms array<struct<token:string,tf:bigint>>"
+
+
+def _counted(plain, part: int = 256):
+    """doc_id, dl, terms of lower-cased texts, a few documents at a time."""
+
+    def run(batches):
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, part):
+                some = batch.slice(i, part)
+                counts, lengths = [], []
+                for text in some.column(1).to_pylist():
+                    tokens = plain(text) if text else []
+                    lengths.append(len(tokens))
+                    counts.append(Counter(tokens))
+                pairs = pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], ["token", "tf"])
+                terms = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lengths, pa.int32()), terms], ["doc_id", "dl", "terms"])
+
+    return run
+
+
 @dataclass
 class Index:
     rows: DataFrame  # doc_id, dl, terms array<struct<token, tf>>: all documents, those without a token too
@@ -65,9 +93,15 @@ class Index:
 def build(docs: DataFrame, tokenizer=tokenize, k1: float = K1, b: float = B, keep: bool = False) -> Index:
     """The index of docs (doc_id, text); null texts have no tokens. Every row is a document of its own.
 
-    Texts are tokenised once, and a document's terms are counted within its row. keep: the rows are persisted, as an index that
-    serves its vocabulary and its searches, or several of them, wants to be.
+    Texts are tokenised once, and a document's terms are counted within its row: in Arrow batches where the tokenizer has a plain
+    version, which takes a fraction of the time of its column expression. keep: the rows are persisted; `inverted.Stored`
+    keeps them in files instead.
     """
+    if tokenizer in PLAIN:
+        kind = dict(docs.dtypes)["doc_id"]
+        rows = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_counted(PLAIN[tokenizer]), f"doc_id {kind}, dl int, {TERMS}")
+        rows = rows.persist() if keep else rows
+        return Index(rows, rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b)
     tokens = docs.select("doc_id", F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
     rows = tokens.select("doc_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("terms"))
     rows = rows.persist() if keep else rows

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +11,13 @@ from pyspark.sql import functions as F
 from gleaner.functions.stemmer import tokenize
 from gleaner.functions.text import STOPWORDS, let, split_tokens, truncate_tokens
 from gleaner.operators import bm25, chunking, dense
+from gleaner.operators.inverted import Stored
+from gleaner.sources.durable import remove, scratch, version  # noqa: F401  scratch is used from here, too
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes, in the shared one that spark.checkpoint.dir names; a local session without it gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="gleaner-")
-    return f"{named}/{name}-{uuid.uuid4().hex}"
-
-
 def query(name: str, sql: str | None = None):
     """Register a query under its name, with the SQL that must give the same rows."""
 
@@ -87,8 +77,26 @@ def questions(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(spark, d, tokenizer=tokenize) -> Stored:
+    """The index of the documents in files, which later queries of the session over the same files find written."""
+    name = tokenizer.__name__
+    key = (spark.sparkContext.applicationId, d, version(spark, f"{d}/documents.parquet"), name)
+    folder = _STORED.setdefault(key, "") or scratch(spark, f"index-{name}")
+    _STORED[key] = folder
+    return Stored(spark, folder, documents(spark, d), tokenizer)
+
+
+def forget_indexes(spark) -> None:
+    """Remove the session's indexes, so that the next query starts from the texts."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        remove(spark, _STORED.pop(key))
+
+
 def bm25_index(spark, d, tokenizer=tokenize):
-    return bm25.build(documents(spark, d), tokenizer, keep=True)
+    return stored_index(spark, d, tokenizer).index
 
 
 def bm25_scores(spark, d, tokenizer=tokenize):
@@ -97,11 +105,11 @@ def bm25_scores(spark, d, tokenizer=tokenize):
 
 def run_words(spark, d, k=50):
     """The production search: stemmed tokens. (No table has a Russian word, so SQL needs no stemmer to repeat it.)"""
-    return bm25.top(bm25_scores(spark, d), "query_id", k)
+    return stored_index(spark, d).search(questions(spark, d), "query_id", k)
 
 
 def run_stems(spark, d, k=50):
-    return bm25.top(bm25_scores(spark, d, truncate_tokens), "query_id", k)
+    return stored_index(spark, d, truncate_tokens).search(questions(spark, d), "query_id", k)
 
 
 def grams(tokens, n=8):
@@ -239,5 +247,5 @@ def expanded(sql: str) -> str:
         return sql
     front = ",\n".join(CTES[n] for n in need)
     body = sql.lstrip()
-    own = re.match(r"WITH\b\s*", body)
-    return f"WITH {front}" + (",\n" + body[own.end() :] if own else "\n" + body)
+    own = re.match(r"WITH\b(\s+RECURSIVE\b)?\s*", body)
+    return f"WITH{own[1] or '' if own else ''} {front}" + (",\n" + body[own.end() :] if own else "\n" + body)
