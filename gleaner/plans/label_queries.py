@@ -510,17 +510,3 @@ def _(spark, d):
 SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM qrels) THEN '' ELSE md5('17|' || doc_id) END AS o FROM documents ORDER BY o, doc_id LIMIT greatest(300, (SELECT count(DISTINCT doc_id) FROM qrels)))""")
 def _(spark, d):
     return curation.forgetting_sample(documents(spark, d).select("doc_id"), text_qrels(spark, d), 300).select("doc_id")
-
-
-@query("j18_journal")
-def _(spark, d):
-    """Three runs folded into a journal with a verdict each."""
-    from gleaner.operators.metrics import per_query
-
-    q = text_qrels(spark, d)
-    entries = []
-    for tag, run in (("words", run_words(spark, d, 10)), ("stems", run_stems(spark, d, 10))):
-        values = {r.query_id: r.mrr_10 for r in per_query(run, q).select("query_id", "mrr_10").collect()}  # one row a question of a bounded benchmark
-        entries.append({"tag": tag, "values": values})
-    folded = curation.journal(entries)
-    return spark.createDataFrame([(e["tag"], e["compared_with"], e["diff"], e["verdict"]) for e in folded], "tag string, compared_with string, diff double, verdict string")
