@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.durable import exists
+
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON lines, plain or gzipped; blank lines give no row."""
@@ -90,17 +92,16 @@ def exploded_split(split_json: DataFrame) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys aren't in the table at path yet; the number of them. A run that broke off goes on where it stood."""
+    """Append the rows whose keys aren't in the table at path yet; the number of them. A run that broke off goes on where it stood.
+
+    The rows are computed once and counted as they are written. One writer at a time: what two append at once isn't compared.
+    """
     spark = rows.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    there = jvm.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+    if exists(spark, path):
         rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
-    rows = rows.dropDuplicates(keys)
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(path)
-    return n
+    seen = Observation()
+    rows.dropDuplicates(keys).observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def union_queries(sources: list[tuple[str, DataFrame]]) -> DataFrame:
