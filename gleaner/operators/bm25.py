@@ -66,16 +66,24 @@ class Index:
     size: DataFrame  # one row: n, avgdl
     k1: float = K1
     b: float = B
+    counted: DataFrame | None = None  # token, df, where they are at hand
 
     @property
     def postings(self) -> DataFrame:
         """doc_id, dl, token, tf."""
         return self.rows.select("doc_id", "dl", F.inline("terms"))
 
+    @property
+    def df(self) -> DataFrame:
+        """token, df."""
+        if self.counted is not None:
+            return self.counted.select("token", "df")
+        return self.rows.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
     @property
     def terms(self) -> DataFrame:
         """token, df, idf. An idf below zero is replaced by a quarter of the mean idf."""
-        df = self.rows.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        df = self.df
         raw = df.crossJoin(F.broadcast(self.size)).select("token", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
         mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
         return raw.crossJoin(mean).select("token", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

@@ -40,15 +40,20 @@ class Stored:
 
     @property
     def index(self) -> bm25.Index:
-        """The forward rows, one a document, as an index over files."""
+        """The forward rows, one a document, and the vocabulary, as an index over files."""
         rows = self._part("forward", lambda: bm25.build(self.docs, self.tokenizer).rows.write)
         size = self._part("size", lambda: rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write)
-        return bm25.Index(rows, size, self.k1, self.b)
-
-    @property
-    def terms(self) -> DataFrame:
-        """token, df, idf, bucket, in the order of buckets, so that statistics of the files rule out most of them."""
-        return self._part("terms", lambda: self.index.terms.withColumn("bucket", bucket_of("token")).repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token").write)
+        # in the order of buckets, so that statistics of the files rule out most of them
+        df = self._part("df", lambda: bm25.Index(rows, size).df.withColumn("bucket", bucket_of("token")).repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token").write)
+        return bm25.Index(rows, size, self.k1, self.b, df)
+
+    def terms(self, buckets: list[int]) -> DataFrame:
+        """bucket, token, idf of the terms in some buckets; what all terms have in common is one number, read once."""
+        index = self.index
+        raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        mean = F.broadcast(index.df.crossJoin(F.broadcast(index.size)).agg(F.avg(raw).alias("mean")))
+        asked = index.counted.where(F.col("bucket").isin(buckets)).crossJoin(F.broadcast(index.size)).withColumn("raw", raw).crossJoin(mean)
+        return asked.select("bucket", "token", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
     @property
     def ranges(self) -> int:
@@ -76,7 +81,7 @@ class Stored:
         told = tokens.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS numbers at most
         few, buckets = told[0] <= MOST_TERMS, sorted(told[1])
         tokens = F.broadcast(tokens) if few else tokens
-        return self.terms.where(F.col("bucket").isin(buckets)).join(tokens, ["bucket", "token"]).select(key, "token", "qtf", "idf", "bucket"), buckets, few
+        return self.terms(buckets).join(tokens, ["bucket", "token"]).select(key, "token", "qtf", "idf", "bucket"), buckets, few
 
     def search(self, queries: DataFrame, key: str, k: int = 10, first: int = 4) -> DataFrame:
         """key, doc_id, score, rank: the k best documents of each query that share a token with it; ties by doc_id.

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.stemmer import tokenize
-from gleaner.functions.text import STOPWORDS, let, split_tokens, truncate_tokens
+from gleaner.functions.text import STOPWORDS, split_tokens, truncate_tokens
 from gleaner.operators import bm25, chunking, dense
+from gleaner.operators.copying import grams, shared_grams
 from gleaner.operators.inverted import Stored
 from gleaner.sources.durable import remove, scratch, version  # noqa: F401  scratch is used from here, too
 
@@ -69,6 +70,12 @@ class Literal:
 # --- relations in Spark ---
 
 
+def spread(rows: DataFrame, most: int = 32) -> DataFrame:
+    """A small table's rows over the cores (up to `most` partitions), where its files give fewer; larger ones are read as they lie."""
+    n = min(most, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def documents(spark, d):
     return read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,7 +93,7 @@ def stored_index(spark, d, tokenizer=tokenize) -> Stored:
     key = (spark.sparkContext.applicationId, d, version(spark, f"{d}/documents.parquet"), name)
     folder = _STORED.setdefault(key, "") or scratch(spark, f"index-{name}")
     _STORED[key] = folder
-    return Stored(spark, folder, documents(spark, d), tokenizer)
+    return Stored(spark, folder, spread(documents(spark, d).select("doc_id", "text")), tokenizer)
 
 
 def forget_indexes(spark) -> None:
@@ -105,24 +112,18 @@ def bm25_scores(spark, d, tokenizer=tokenize):
 
 def run_words(spark, d, k=50):
     """The production search: stemmed tokens. (No table has a Russian word, so SQL needs no stemmer to repeat it.)"""
-    return stored_index(spark, d).search(questions(spark, d), "query_id", k)
+    return bm25.top(bm25_scores(spark, d), "query_id", k)
 
 
 def run_stems(spark, d, k=50):
-    return stored_index(spark, d, truncate_tokens).search(questions(spark, d), "query_id", k)
-
-
-def grams(tokens, n=8):
-    """All runs of n tokens, joined; none for fewer tokens."""
-    none = F.array().cast("array<string>")
-    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
+    return bm25.top(bm25_scores(spark, d, truncate_tokens), "query_id", k)
 
 
 def text_qrels(spark, d):
     """query_id, doc_id, grade: 2 where a document holds half of a question's distinct 8-grams or more, 1 from 0.3 on."""
     q = questions(spark, d).select("query_id", F.array_distinct(grams(split_tokens(F.col("text")))).alias("g")).where(F.size("g") > 0)
     wanted = q.select("query_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    there = documents(spark, d).select("doc_id", F.explode(F.array_distinct(grams(split_tokens(F.col("text"))))).alias("gram"))
+    there = shared_grams(spread(documents(spark, d).select("doc_id", "text")), wanted.select("gram").distinct())
     share = there.join(wanted, "gram").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("share"))
     return share.where("share >= 0.3").select("query_id", "doc_id", F.when(F.col("share") >= 0.5, 2).otherwise(1).alias("grade"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import act_numbers, split_tokens
 from gleaner.operators import bm25, chunking, dense, runs
 from gleaner.plans.base import (
-    Literal, bm25_index, bm25_scores, chunks, documents, query, questions, read, run_stems, run_words, spans, vector_run, vectors,
+    Literal, bm25_index, bm25_scores, chunks, documents, query, questions, read, run_stems, run_words, spans, stored_index, vector_run, vectors,
 )
 
 RUN = ["query_id", "doc_id", "score", "rank"]
@@ -33,6 +33,12 @@ def _(spark, d):
     return run_words(spark, d, 10).select(RUN)
 
 
+@query("g3_stored_search", "SELECT query_id, doc_id, score, rank FROM run_words WHERE rank <= 10")
+def _(spark, d):
+    """The same search over postings by bucket, which a service that answers many questions would read."""
+    return stored_index(spark, d).search(questions(spark, d), "query_id", 10).select(RUN)
+
+
 @query("g3_bm25_top10_padded", """
 WITH both_ AS (SELECT query_id, doc_id, score FROM words_scores WHERE score <> 0 UNION ALL
  SELECT b.item_id, d.doc_id, 0.0 FROM benchmark b, documents d WHERE NOT EXISTS (SELECT 1 FROM words_scores s WHERE s.score <> 0 AND s.query_id = b.item_id AND s.doc_id = d.doc_id))

@@ -15,7 +15,7 @@ _WRITTEN = {"professional": (0, 9, "?"), "everyday": (20, 12, "?"), "search": (3
 def generation_run(spark, d, folder=None, **more) -> generation.Generation:
     """Questions about documents by a stub: every second word of a stretch, which stretch by style. Acts are source and language."""
     index = stored_index(spark, d, split_tokens)
-    n, df = index.index.size.first()["n"], index.terms
+    n, df = index.index.size.first()["n"], index.index.df
 
     def write(rows, style):
         return rows.withColumn("question", generation.every_second_word(*_WRITTEN[style.name])(F.col("body")))
