@@ -83,12 +83,14 @@ def kappa_verdict(k: Column) -> Column:
 
 def stratified(items: DataFrame, stratum: str, key: str, size: int, seed: int = 13) -> DataFrame:
     """`size` rows: an equal share of each stratum by md5 order, topped up from the rest by md5 order."""
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    share = items.agg(F.greatest(F.lit(1), F.floor(F.lit(size) / F.greatest(F.lit(1), F.countDistinct(stratum)))).alias("share"))
-    w = Window.partitionBy(stratum).orderBy("_o", key)
-    placed = items.withColumn("_o", order).withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(share))
-    placed = placed.withColumn("_late", (F.col("_r") > F.col("share")).cast("int"))
-    return placed.orderBy("_late", "_o", key).limit(size).drop("_o", "_r", "share", "_late")
+    placed = items.withColumn("_o", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")))
+    share = max(1, size // max(1, items.agg(F.countDistinct(stratum)).first()[0]))
+    # the number of rows kept is known, so each task keeps as many of a stratum at most
+    head = placed.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_o", key))).where(F.col("_r") <= share).drop("_r")
+    head = head.orderBy("_o", key).limit(size)
+    rest = placed.orderBy("_o", key).limit(2 * size).join(head.select(key), key, "left_anti")
+    both = head.withColumn("_late", F.lit(0)).union(rest.select(*head.columns, F.lit(1)))
+    return both.orderBy("_late", "_o", key).limit(size).drop("_o", "_late")
 
 
 def sheet_grade(row: dict[str, Column] | None = None) -> Column:

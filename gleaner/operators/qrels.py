@@ -48,6 +48,24 @@ def same_act_grades(gold: DataFrame, chunks: DataFrame, share: float = 0.30) ->
     return two.union(one).groupBy(*PAIR).agg(F.max("grade").alias("grade"))
 
 
+def review_neighbours(gold: DataFrame, chunks: DataFrame, share: float = 0.30, window: int = 2, most: int = 4) -> DataFrame:
+    """query_id, gold, doc_id, distance, place: for each gold chunk the `most` chunks of its act that a person should grade.
+
+    They stand within `window` places of it or in its section (those come after, by distance), and share less than `share` of its span.
+    chunks: chunk_id, doc_id, position, section, char_start, char_end. Only the gold chunks' own acts are looked at.
+    """
+    names = ["position", "section", "char_start", "char_end"]
+    mine = gold.select("query_id", F.col("doc_id").alias("gold")).join(chunks.select(F.col("chunk_id").alias("gold"), F.col("doc_id").alias("act"), *(F.col(c).alias(f"g_{c}") for c in names)), "gold")
+    near = mine.join(chunks.select("chunk_id", F.col("doc_id").alias("act"), *names), "act").where("chunk_id <> gold")
+    distance = F.abs(F.col("position") - F.col("g_position"))
+    shared = F.greatest(F.lit(0), F.least("char_end", "g_char_end") - F.greatest("char_start", "g_char_start"))
+    section = (F.coalesce("section", F.lit("")) != "") & (F.col("section") == F.col("g_section"))
+    far = F.when(distance <= window, distance).when(section, 100 + distance)
+    rows = near.where(shared < share * (F.col("g_char_end") - F.col("g_char_start"))).withColumn("distance", far).where("distance is not null")
+    order = F.row_number().over(Window.partitionBy("query_id", "gold").orderBy("distance", "chunk_id"))
+    return rows.withColumn("place", order).where(F.col("place") <= most).select("query_id", "gold", F.col("chunk_id").alias("doc_id"), "distance", "place")
+
+
 def remap(qrels: DataFrame, source: DataFrame, target: DataFrame, share: float = 0.5) -> DataFrame:
     """Labels moved to another chunking: query_id, doc_id, grade.
 

@@ -151,10 +151,17 @@ def unpaired_diff(a: DataFrame, b: DataFrame, by: str, key: str, reps: int = 10_
 
 
 def order_statistic(values: DataFrame, by: str, value: str, q: float = 0.95) -> DataFrame:
-    """by, n, median, p: the value at place round(q (n - 1)) of the sorted values, half to even. Values are counted before they are put in order, so equal ones take one row."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    total = values.groupBy(by).agg(F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
+    """by, n, median, p: the value at place round(q (n - 1)) of the sorted values, half to even.
+
+    A sketch cuts each group into ranges of some percent; their counts say which one holds the place, and only its distinct values are put in order.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    cuts = rows.groupBy(by).agg(F.percentile_approx("v", [k / 64 for k in range(1, 64)], 1000).alias("cuts"), F.percentile("v", 0.5).alias("median"), F.count("*").alias("n"))
+    dealt = rows.join(cuts.select(by, "cuts"), by).select(by, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
+    counts = dealt.groupBy(by, "range").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(by).orderBy("range")) - F.col("c")  # 64 rows a group at most
     at = F.bround(F.lit(q) * (F.col("n") - 1), 0)
-    placed = counts.withColumn("upto", upto).join(total, by).where(F.col("upto") > at)
-    return placed.groupBy(by).agg(F.max("n").alias("n"), F.max("median").alias("median"), F.min(value).alias("p"))
+    held = counts.withColumn("before", before).join(cuts.select(by, "n", "median"), by).where((F.col("before") <= at) & (at < F.col("before") + F.col("c"))).select(by, "range", "before", "n", "median", at.alias("at"))
+    few = dealt.join(F.broadcast(held), [by, "range"]).groupBy(by, "v").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("before", "n", "median", "at")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(by).orderBy("v"))
+    return few.withColumn("upto", upto).where(F.col("upto") > F.col("at")).groupBy(by).agg(F.max("n").alias("n"), F.max("median").alias("median"), F.min("v").alias("p"))

@@ -19,6 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The letters by which texts of the tables are read as Cyrillic ones.
+LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩ"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under its name, with the SQL that must give the same rows."""
 
@@ -139,11 +144,29 @@ def vector_run(spark, d, dim=0, k=10):
     return bm25.top(found.select("query_id", F.col("vec_id").alias("doc_id"), "score"), "query_id", k)
 
 
-def vector_qrels(spark, d):
-    """Grade 2: same label and same parity of the id; 1: same label otherwise."""
-    v = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "label")
+def graded_run(spark, d, dim=0):
+    """The vector run with grades: 2 for the same label and parity of the id, 1 for the same label, else 0. No other label is made."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("theirs"))
+    q = vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("mine"))
+    rows = vector_run(spark, d, dim).join(v, "doc_id").join(q, "query_id")
+    return rows.select("query_id", "doc_id", "rank", F.when(F.col("mine") == F.col("theirs"), F.when(F.expr("doc_id % 2 = query_id % 2"), 2).otherwise(1)).otherwise(0).alias("grade"))
+
+
+def grade_totals(spark, d):
+    """query_id, grade, n: how many vectors have either grade for a query, from counts by label and parity."""
+    counts = vectors(spark, d).groupBy("label", (F.col("vec_id") % 2).alias("parity")).agg(F.count("*").alias("n"))
+    q = vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    same = F.expr("query_id % 2 = parity")
+    rows = q.join(counts, "label").select("query_id", F.when(same, 2).otherwise(1).alias("grade"), (F.col("n") - same.cast("int")).alias("n"))
+    return rows.where("n > 0")
+
+
+def first_of_label(spark, d):
+    """query_id, gold: the smallest other id of the query's label, from the two smallest of each label."""
+    least = vectors(spark, d).groupBy("label").agg(F.min("vec_id").alias("one"))
+    next_ = vectors(spark, d).join(F.broadcast(least), "label").where("vec_id <> one").groupBy("label").agg(F.min("vec_id").alias("two"))
     q = vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return v.join(q, "label").where("doc_id <> query_id").select("query_id", "doc_id", F.when(F.expr("doc_id % 2 = query_id % 2"), 2).otherwise(1).alias("grade"))
+    return q.join(least, "label").join(next_, "label", "left").select("query_id", F.when(F.col("one") == F.col("query_id"), F.col("two")).otherwise(F.col("one")).alias("gold")).where("gold is not null")
 
 
 def chunks(spark, d, size=512):

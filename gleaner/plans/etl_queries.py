@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.operators import curation
-from gleaner.plans.base import Literal, chunks, documents, query, questions, read, run_stems, run_words, scratch, text_qrels
+from gleaner.plans.base import CYRILLIC, LATIN, Literal, chunks, documents, graded_run, query, questions, read, run_stems, run_words, scratch, text_qrels
 from gleaner.sources import files, web
 
 QRELS_LINES = Literal("line_no long, value string", [
@@ -109,11 +109,14 @@ def _(spark, d):
     return files.beir_queries(questions(spark, d), text_qrels(spark, d))
 
 
-@query("b3_qrels_rows", "SELECT query_id, doc_id, grade FROM vqrels WHERE grade > 1")
+@query("b3_qrels_rows", """
+SELECT r.query_id, r.doc_id, CASE WHEN r.doc_id % 2 = r.query_id % 2 THEN 2 ELSE 1 END AS grade FROM run_full r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings c ON c.vec_id = r.doc_id WHERE q.label = c.label""")
 def _(spark, d):
-    from gleaner.plans.base import vector_qrels
-
-    return vector_qrels(spark, d).where("grade > 1")
+    """The labels of what a run retrieved, written and read back; zero grades are dropped on the way."""
+    path = scratch(spark, "b3")
+    files.write_qrels(graded_run(spark, d).select("query_id", "doc_id", "grade"), path)
+    back = files.read_qrels(spark, path)
+    return back.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), "grade")
 
 
 @query("b4_run_lines", "SELECT CAST(query_id AS VARCHAR) AS query_id, string_agg(doc_id, ',' ORDER BY rank) AS ranked FROM run_words WHERE rank <= 10 GROUP BY query_id")
@@ -255,6 +258,20 @@ def _(spark, d):
     return curation.build_corpus(wanted, found, least_cyrillic=0.0).select("number", "issue", "chars", F.md5(F.col("text").cast("binary")).alias("digest"), "reason")
 
 
+@query("c10_build_corpus_cyrillic", f"""
+WITH f AS (SELECT source AS issue, doc_id // 2 AS act, CASE WHEN doc_id % 5 = 0 THEN text ELSE translate(text, '{LATIN}', '{CYRILLIC}') END AS text FROM documents WHERE source IS NOT NULL),
+k AS (SELECT act, arg_min(text, issue || chr(1) || text) AS text, min(issue) AS issue FROM f GROUP BY act),
+s AS (SELECT *, len(regexp_extract_all(text, '[а-яёА-ЯЁ]')) AS c, len(regexp_extract_all(text, '[a-zA-Z]')) AS l FROM k)
+SELECT act || '-П' AS number, issue, length(text) AS chars, md5(text) AS digest, CASE WHEN c + l = 0 OR c / (c + l) < 0.9 THEN 'мало кириллицы' WHEN length(text) < 500 THEN 'слишком короткий' END AS reason FROM s""")
+def _(spark, d):
+    """Two documents are two issues' texts of an act; letters are read as Cyrillic ones but in every fifth text, which the filter must reject."""
+    docs = documents(spark, d).where("source is not null")
+    texts = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.translate("text", LATIN, CYRILLIC))
+    found = docs.select(F.col("source").alias("issue"), F.expr("concat(doc_id div 2, '-П')").alias("number"), texts.alias("text"))
+    wanted = found.select("number", F.lit("01.01.2020").alias("date"), F.lit("О правилах").alias("title"), "issue").distinct()
+    return curation.build_corpus(wanted, found).select("number", "issue", "chars", F.md5(F.col("text").cast("binary")).alias("digest"), "reason")
+
+
 @query("c13_catalog_profile", "SELECT year(o_orderdate) AS year, o_orderpriority AS kind, count(*) AS n, count(DISTINCT o_custkey) AS issues, round(quantile_cont(o_totalprice, 0.5), 6) AS median FROM orders GROUP BY ALL")
 def _(spark, d):
     """Counts by kind and year; orders stand for a listing with dates."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import curation, judging, qrels, runs
 from gleaner.plans.base import (
-    Literal, chunks, documents, judges, query, questions, read, run_stems, run_words, spans, text_qrels, vector_qrels, vector_run, vectors,
+    Literal, chunks, documents, judges, query, questions, read, run_stems, run_words, spans, text_qrels, first_of_label, graded_run, vector_run, vectors,
 )
 
 POOL = """
@@ -230,6 +230,17 @@ def _(spark, d):
     return qrels.same_act_grades(gold_chunks(spark, d), chunks(spark, d), 0.10)
 
 
+@query("i4_review_neighbours", f"""
+WITH {_GOLD}, near AS (SELECT g.query_id, a.chunk_id AS gold, b.chunk_id, abs(a.position - b.position) AS distance, greatest(0, least(a.char_end, b.char_end) - greatest(a.char_start, b.char_start)) AS shared, a.char_end - a.char_start AS span
+ FROM gold g JOIN chunks a USING (chunk_id) JOIN chunks b ON a.doc_id = b.doc_id AND a.chunk_id <> b.chunk_id AND abs(a.position - b.position) <= 2),
+r AS (SELECT query_id, gold, chunk_id, distance, row_number() OVER (PARTITION BY query_id, gold ORDER BY distance, chunk_id) AS place FROM near WHERE shared < 0.30 * span)
+SELECT query_id, chunk_id AS doc_id, distance, place FROM r WHERE place <= 4""")
+def _(spark, d):
+    """Chunks next to a gold one that share too little of it for a grade: what people should look at."""
+    rows = chunks(spark, d).withColumn("section", F.lit(""))
+    return qrels.review_neighbours(gold_chunks(spark, d), rows).select("query_id", "doc_id", "distance", "place")
+
+
 @query("i4_merged_sources", "WITH" + _JUDGED + """,
 t AS (SELECT query_id, doc_id, grade, 0 AS s FROM qrels UNION ALL SELECT query_id, doc_id, grade, 1 FROM judged UNION ALL SELECT query_id, doc_id, 1, 2 FROM run_words WHERE rank = 1)
 SELECT query_id, doc_id, arg_min(grade, s) AS grade FROM t GROUP BY ALL HAVING arg_min(grade, s) > 0""")
@@ -337,12 +348,14 @@ def _(spark, d):
 WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('17|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS size FROM documents)
 SELECT doc_id, lang, row_number() OVER (ORDER BY r, size DESC, lang) AS place FROM r ORDER BY r, size DESC, lang LIMIT 100""")
 def _(spark, d):
-    """A sheet of 100 documents dealt round robin over the kinds, large kinds first."""
+    """A sheet of 100 documents dealt round robin over the kinds, large kinds first. No kind can give more than 100, so each task keeps that many of a kind."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("lang")
-    r = documents(spark, d).select("doc_id", "lang").withColumn("r", F.row_number().over(w.orderBy(curation.shuffled(F.col("doc_id")), "doc_id"))).withColumn("size", F.count("*").over(w))
-    top = r.orderBy("r", F.desc("size"), "lang").limit(100)
+    docs = documents(spark, d).select("doc_id", "lang")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(curation.shuffled(F.col("doc_id")), "doc_id"))
+    few = docs.withColumn("r", order).where(F.col("r") <= 100)
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("size"))
+    top = few.join(sizes, few["lang"].eqNullSafe(sizes["lang"])).select(few["doc_id"], few["lang"], "r", "size").orderBy("r", F.desc("size"), "lang").limit(100)
     return top.withColumn("place", F.row_number().over(Window.orderBy("r", F.desc("size"), "lang"))).select("doc_id", "lang", "place")
 
 
@@ -397,14 +410,14 @@ def _(spark, d):
 
 
 @query("j6_referential_faults", """
-SELECT 'unknown query' AS "check", count(*) AS n FROM vqrels WHERE query_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)
-UNION ALL SELECT 'unknown document', count(*) FROM vqrels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-UNION ALL SELECT 'no positive', count(*) FROM (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM vqrels WHERE grade > 0))""")
+WITH g AS (SELECT r.query_id, r.doc_id, q.label = c.label AS good FROM run_full r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings c ON c.vec_id = r.doc_id)
+SELECT 'unknown query' AS "check", count(*) AS n FROM g WHERE query_id % 100 = 50
+UNION ALL SELECT 'unknown document', count(*) FROM g WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
+UNION ALL SELECT 'no positive', count(*) FROM embeddings WHERE vec_id % 100 = 0 AND vec_id NOT IN (SELECT query_id FROM g WHERE good)""")
 def _(spark, d):
-    q = vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
-    out = curation.referential_faults(q, documents(spark, d).select("doc_id"), vector_qrels(spark, d))
-    none = curation.referential_faults(questions(spark, d), documents(spark, d), vector_qrels(spark, d)).where("check = 'no positive'")
-    return out.where("check <> 'no positive'").union(none)
+    """The labels of a run, held against half of its queries and two thirds of the documents."""
+    q = vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    return curation.referential_faults(q, documents(spark, d).where("doc_id % 3 <> 0").select("doc_id"), graded_run(spark, d))
 
 
 _CANDIDATES = """
@@ -417,7 +430,7 @@ picked AS (SELECT *, CASE WHEN r IS NULL AND sum((r IS NULL)::INT) OVER (PARTITI
 
 def candidates(spark, d, shift=2.0):
     v = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "label")
-    gold = vector_qrels(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("gold"))
+    gold = first_of_label(spark, d)
     run = vector_run(spark, d).select("query_id", "doc_id", F.col("rank").alias("place"), (8 * F.col("score") - shift).alias("score"))
     run = run.join(gold, "query_id").join(v.withColumnRenamed("label", "act"), "doc_id")
     return run.join(v.select(F.col("doc_id").alias("gold"), F.col("label").alias("gold_act")), "gold").withColumn("gold_score", F.lit(3.0)).withColumn("train", F.col("doc_id") % 3 != 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import split_tokens
 from gleaner.operators import metrics, stats
-from gleaner.plans.base import documents, judges, query, questions, read, run_stems, run_words, text_qrels, vector_qrels, vector_run
+from gleaner.plans.base import documents, grade_totals, graded_run, judges, query, questions, read, run_stems, run_words, text_qrels, vector_run
 from gleaner.plans.label_queries import _SUBSETS, subsets
 
 
@@ -27,7 +27,7 @@ def text_metrics(spark, d, run=run_words):
 
 
 def vector_metrics(spark, d, dim=0):
-    return metrics.per_query(vector_run(spark, d, dim), vector_qrels(spark, d))
+    return metrics.per_query_counted(graded_run(spark, d, dim), grade_totals(spark, d))
 
 
 @query("l1_l5_metrics_text", "WITH" + metric_sql("run_words", "qrels", "m") + " SELECT * FROM m")

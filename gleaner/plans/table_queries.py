@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import stemmer, text
 from gleaner.operators import chunking, judging
-from gleaner.plans.base import documents, query, questions, read, scratch
+from gleaner.plans.base import CYRILLIC, LATIN, documents, query, questions, read, scratch
 from gleaner.sources import files, web
 
-LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CYRILLIC = "абвгдежзийклмнопрстуфхцчшщАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩ"
-
 _LETTER = "CASE doc_id % 4 WHEN 0 THEN 'П' WHEN 1 THEN 'У' WHEN 2 THEN 'И' ELSE 'Т' END"
 _KIND = "CASE doc_id % 4 WHEN 0 THEN 'Положение' WHEN 1 THEN 'Указание' WHEN 2 THEN 'Инструкция' ELSE 'Письмо' END"
 
