@@ -92,15 +92,15 @@ links1 AS (SELECT a.id AS a, b.id AS b FROM flat a JOIN flat b ON a.x = b.x AND
 links AS (SELECT * FROM links1), nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
 SELECT id AS doc_id, len(s) AS n_shingles, component_id, id = component_id AS kept FROM component JOIN sets USING (id)""",
     "op6_secret_scans": f"""
-WITH d AS (SELECT doc_id, coalesce(source, '-none-') AS src, coalesce(text, '') AS t FROM documents), m AS ({_MATCHES}),
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS src, coalesce(text, '') AS t FROM documents), m AS ({_MATCHES}),
 e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
 p AS (SELECT doc_id, src, k, v[i] AS v, CAST(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in h[1:i - 1]]), 0) AS BIGINT) AS s, length(h[i]) AS n FROM e),
 f AS (SELECT *, s + n AS z FROM p WHERE CASE k WHEN 0 THEN length(v) >= 6 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') ELSE true END),
-o AS (SELECT v, count(DISTINCT src) AS owners FROM f GROUP BY v),
-every AS (SELECT f.*, owners FROM f JOIN o USING (v) WHERE k < 3 OR (owners < 3 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.k < 3 AND b.s < f.z AND f.s < b.z))),
+o AS (SELECT v, count(DISTINCT split_part(src, '/', 1)) < 3 AND count(DISTINCT src) < 6 AS live FROM f GROUP BY v),
+every AS (SELECT f.*, live FROM f JOIN o USING (v) WHERE k < 3 OR (live AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.k < 3 AND b.s < f.z AND f.s < b.z))),
 named AS (SELECT *, (['assign', 'access', 'hex', 'owned'])[k + 1] || ':' || s || ':' || z AS name FROM every)
 SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256(coalesce(string_agg(name, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
- coalesce(string_agg(name, ',' ORDER BY s, k), '') AS spans, count(*) FILTER (owners < 3) AS n_live FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id""",
+ coalesce(string_agg(name, ',' ORDER BY s, k), '') AS spans, count(*) FILTER (live) AS n_live FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id""",
     "op8_sharding": _lookup(),
     "op12_merkle_manifest": _MERKLE,
     "op13_spelling_variants": _VARIANTS,
