@@ -203,7 +203,7 @@ class Tree:
         self.names, self.arity = leaves.columns, arity
         n = leaves.count()
         least = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(least, -(-n // 1024)), -(-n // part_rows))
+        parts = max(1, min(least, -(-n // 16_384)), -(-n // part_rows))  # each takes a sample of its rows to the driver
         keys = ["g", *order, "digest", "salt"]  # the salt deals out rows that are equal
         salted = leaves.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
         placed = salted.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("salt").withColumn("at", F.monotonically_increasing_id())
