@@ -4,7 +4,8 @@ Vectors are dealt evenly into shards of bounded size. A shard's graph holds one
 lies within half the linking angle of a node (less a margin) joins that node's ball, and all members of a ball link
 with each other for certain, however many there are. Then every shard is queried with the nodes of every shard, by
 beam search from the top level down. A beam that fills up with hits is widened, and all beams of a shard are
-widened until the audited queries, held against a scan of the shard, miss nothing. Two balls link wholly, not
+widened until the audited queries miss nothing: some of the nodes, held against a scan of the shard, and, where these
+have few links, planted queries at just the linking cosine to nodes of the shard. Two balls link wholly, not
 at all, or (by the triangle inequality undecided) member by member; every undecided pair of vectors is verified by
 cosine in double precision. Balls with a link are united.
 """
@@ -50,7 +51,9 @@ def beam_search(near: np.ndarray, x: np.ndarray, q: np.ndarray, entry: np.ndarra
         next_[seen[rows, next_]] = -1
         seen[rows, next_] = True
         seen[:, n] = False
-        s = np.where(next_ >= 0, np.einsum("qmd,qd->qm", x[next_], q[at]), -2).astype(np.float32)
+        r, c = np.nonzero(next_ >= 0)  # most neighbours have been seen: vectors are fetched for the others alone
+        s = np.full(next_.shape, -2, np.float32)
+        s[r, c] = np.einsum("nd,nd->n", x[next_[r, c]], q[at[r]])
         all_i, all_s, all_o = np.concatenate([ids[at], next_], 1), np.concatenate([sims[at], s], 1), np.concatenate([open_[at], next_ >= 0], 1)
         top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
         ids[at], sims[at], open_[at] = (np.take_along_axis(a, top, 1) for a in (all_i, all_s, all_o))
@@ -62,7 +65,7 @@ def diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> np.
     order = np.argsort(-sims, axis=1, kind="stable")
     cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
     v = x[cand]
-    between = np.einsum("qid,qjd->qij", v, v)
+    between = v @ v.transpose(0, 2, 1)
     state = np.where(cand >= 0, 1, 0)  # 1 free, 2 chosen, 0 out
     left, rows = state.copy(), np.arange(len(cand))
     out, filled = np.full((len(cand), most), -1, np.int32), np.zeros(len(cand), int)
@@ -177,44 +180,67 @@ def _scan(x: np.ndarray, nodes: np.ndarray, q: np.ndarray, asked: np.ndarray, le
     return np.concatenate(out)
 
 
-def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits: int = 96, block: int = 512, wanted: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def _asked(graph: Graph, q: np.ndarray, least: np.ndarray, asked: np.ndarray, width: int, block: int) -> np.ndarray:
+    """(query, node) of the pairs that the asked queries' beams hold; a query whose beam holds nothing but hits is asked again with twice the beam."""
+    n, found = len(graph.x), [np.empty((0, 2), np.int64)]
+    todo, w = asked, min(width, n)
+    while len(todo):
+        full = []
+        for i in range(0, len(todo), block):
+            t = todo[i : i + block]
+            ids, sims = graph.search(q[t], w)
+            hit = (sims >= least[t, None]) & (ids >= 0)
+            over = hit.all(1) & (w < n)
+            full.append(t[over])
+            r, c = np.nonzero(hit & ~over[:, None])
+            found.append(np.stack([t[r], ids[r, c]], 1))
+        todo, w = np.concatenate(full), min(2 * w, n)
+    return np.concatenate(found)
+
+
+def _planted(x: np.ndarray, targets: np.ndarray, cosines: np.ndarray, seed: int = 11) -> np.ndarray:
+    """One query for each target: a random unit vector with the given cosine to it."""
+    v = x[targets].astype(np.float64)
+    side = np.random.default_rng(seed).normal(size=v.shape)
+    side -= (side * v).sum(1, keepdims=True) * v
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    c = np.clip(cosines, -1, 1)[:, None]
+    return (c * v + np.sqrt(1 - c * c) * side).astype(np.float32)
+
+
+def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits: int = 96, block: int = 512, wanted: int = 128, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all pairs with a similarity of `least` of the query or more, up to what the audits can't tell.
 
-    A query whose beam holds nothing but hits is asked again with twice the beam; if an audited query misses a hit, all are.
-    Audits double until they hold `wanted` true hits; where all queries hold fewer, or must be audited to hold them, the
-    scan is the answer. Nodes that no neighbour list names can't be reached and are always scanned. Pairs may repeat.
+    Audited are `audits` of the queries, whose true hits a scan tells, and, where these hold fewer than `wanted` (with
+    `own`, where the queries are the nodes, not counting themselves), planted queries that have just the linking
+    similarity to a node, for nodes from all over the graph. So a shard that has few links is audited as well as others. As
+    long as an audited query misses a hit, the beam is doubled, and all queries are asked with the beam that passes. Where
+    even a beam as wide as the graph misses one, or where there are no more queries than audits, the scan is the answer.
+    Nodes that no neighbour list names can't be reached and are always scanned. Pairs may repeat.
     """
-    n = len(graph.x)
-    audits = min(audits, len(q))
-    while True:
-        asked = np.linspace(0, len(q) - 1, audits).astype(int)
-        truth = _scan(graph.x, np.arange(n), q, asked, least)
-        if audits == len(q):
-            return truth[:, 0], truth[:, 1]
-        if len(truth) >= wanted:
-            break
-        audits = min(2 * audits, len(q))
+    n, everything = len(graph.x), np.arange(len(q))
+    asked = np.linspace(0, len(q) - 1, min(audits, len(q))).astype(int)
+    truth = _scan(graph.x, np.arange(n), q, asked, least)
+    if len(asked) == len(q):
+        return truth[:, 0], truth[:, 1]
     named = np.zeros(n + 1, bool)
     named[graph.near[0][:n].ravel()] = True
-    lone = _scan(graph.x, np.flatnonzero(~named[:n]), q, np.arange(len(q)), least)
+    named = named[:n]
+    lone = _scan(graph.x, np.flatnonzero(~named), q, everything, least)
+    others = truth[named[truth[:, 1]] & ~(own & (truth[:, 0] == truth[:, 1]))]
+    targets = np.flatnonzero(named)
+    targets = targets[np.linspace(0, len(targets) - 1, min(max(wanted - len(others), 0), len(targets))).astype(int)]
+    bars = least[np.linspace(0, len(q) - 1, len(targets)).astype(int)]
+    planted = _planted(graph.x, targets, bars + 1e-4)
     while True:
-        found = [lone]
-        todo, w = np.arange(len(q)), min(width, n)
-        while len(todo):
-            full = []
-            for i in range(0, len(todo), block):
-                t = todo[i : i + block]
-                ids, sims = graph.search(q[t], w)
-                hit = (sims >= least[t, None]) & (ids >= 0)
-                over = hit.all(1) & (w < n)
-                full.append(t[over])
-                r, c = np.nonzero(hit & ~over[:, None])
-                found.append(np.stack([t[r], ids[r, c]], 1))
-            todo, w = np.concatenate(full), min(2 * w, n)
-        pairs = np.concatenate(found)
-        missed = not np.isin(truth @ [n, 1], pairs @ [n, 1]).all()
-        if not missed or width >= n:
-            return pairs[:, 0], pairs[:, 1]
+        pairs = _asked(graph, q, least, asked, width, block) @ [n, 1]
+        made = _asked(graph, planted, bars, np.arange(len(planted)), width, block) @ [n, 1]
+        if np.isin(others @ [n, 1], pairs).all() and np.isin(np.arange(len(planted)) * n + targets, made).all():
+            found = np.concatenate([lone, _asked(graph, q, least, everything, width, block)])
+            return found[:, 0], found[:, 1]
+        if width >= n:
+            found = _scan(graph.x, np.arange(n), q, everything, least)
+            return found[:, 0], found[:, 1]
         width *= 2
 
 
@@ -282,10 +308,10 @@ def compare(a: Shard, b: Shard, same: bool, cosine: float):
     """(links of whole balls by label, links of single members by place, linked balls) between two shards, or within one."""
     angle = np.arccos(cosine)
 
-    def asks(one, two):
-        return hits(two.graph, one.graph.x, np.cos(np.minimum(angle + one.radius + two.radius.max(), np.pi)) - 1e-4)
+    def asks(one, two, **more):
+        return hits(two.graph, one.graph.x, np.cos(np.minimum(angle + one.radius + two.radius.max(), np.pi)) - 1e-4, **more)
 
-    i, j = asks(a, b)
+    i, j = asks(a, b, own=True) if same else asks(a, b)
     if same:
         lo, hi = np.minimum(i, j), np.maximum(i, j)
         i, j = lo[lo < hi], hi[lo < hi]
@@ -346,16 +372,18 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["vec_id", "label", "size", "place"])
 
 
-def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int | None = None, shard_bytes: int = 4_000_000) -> DataFrame:
+def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int | None = None, shard_bytes: int = 16_000_000) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     vectors: vec_id (long) and embedding (array of numbers); others are ignored. Vectors with a cosine of `cosine`
     or more link; those that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths. A null vec_id is a row without links. Repeated rows are vectors of their own.
-    Exact within what the audits let pass: either shard of a pair is searched with the nodes of the other, and recall is
-    held against a scan for 96 queries or as many more as hold 64 true hits; pairs of shards with fewer are scanned.
+    Exact within what the audits let pass: either shard of a pair is searched with the nodes of the other, and beams widen
+    until 96 audited queries and as many planted ones as make 128 hits together miss none (`hits`).
     shard_rows: vectors of a shard, by default as many as shard_bytes holds at 8 bytes a component and as they are long on
-    average; every pair of shards meets in one task, which holds both. The components travel as they came: floats as floats.
+    average; every pair of shards meets in one task, which holds both and what a search needs: about 20 times shard_bytes in
+    all. The work of a search grows with the logarithm of a shard's size and the number of pairs with the square of
+    the number of shards, so shards are as large as a task bears. The components travel as they came: floats as floats.
     """
     spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
