@@ -208,12 +208,13 @@ def _planted(x: np.ndarray, targets: np.ndarray, cosines: np.ndarray, seed: int
     return (c * v + np.sqrt(1 - c * c) * side).astype(np.float32)
 
 
-def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits: int = 96, block: int = 512, wanted: int = 128, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits: int = 96, block: int = 512, wanted: int = 128, own: bool = False, slack: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all pairs with a similarity of `least` of the query or more, up to what the audits can't tell.
 
     Audited are `audits` of the queries, whose true hits a scan tells, and, where these hold fewer than `wanted` (with
     `own`, where the queries are the nodes, not counting themselves), planted queries that have just the linking
-    similarity to a node, for nodes from all over the graph. So a shard that has few links is audited as well as others. As
+    similarity to a node, for nodes from all over the graph. slack: angles by which a node's bar is stricter than the
+    queries' own; a hit below it is found or not, but no audit asks for it. So a shard that has few links is audited as well as others. As
     long as an audited query misses a hit, the beam is doubled, and all queries are asked with the beam that passes. Where
     even a beam as wide as the graph misses one, or where there are no more queries than audits, the scan is the answer.
     Nodes that no neighbour list names can't be reached and are always scanned. Pairs may repeat.
@@ -227,11 +228,14 @@ def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int = 24, audits
     named[graph.near[0][:n].ravel()] = True
     named = named[:n]
     lone = _scan(graph.x, np.flatnonzero(~named), q, everything, least)
-    others = truth[named[truth[:, 1]] & ~(own & (truth[:, 0] == truth[:, 1]))]
+    slack, reach = np.zeros(n) if slack is None else slack, np.arccos(np.clip(least, -1, 1))
+    sims = np.clip(np.einsum("nd,nd->n", q[truth[:, 0]], graph.x[truth[:, 1]]), -1, 1)
+    due = np.arccos(sims) <= reach[truth[:, 0]] - slack[truth[:, 1]]
+    others = truth[due & named[truth[:, 1]] & ~(own & (truth[:, 0] == truth[:, 1]))]
     targets = np.flatnonzero(named)
     targets = targets[np.linspace(0, len(targets) - 1, min(max(wanted - len(others), 0), len(targets))).astype(int)]
-    bars = least[np.linspace(0, len(q) - 1, len(targets)).astype(int)]
-    planted = _planted(graph.x, targets, bars + 1e-4)
+    bars = np.cos(np.maximum(reach.min() - slack[targets], 0)) - 1e-4
+    planted = _planted(graph.x, targets, bars + 2e-4)
     while True:
         pairs = _asked(graph, q, least, asked, width, block) @ [n, 1]
         made = _asked(graph, planted, bars, np.arange(len(planted)), width, block) @ [n, 1]
@@ -309,6 +313,8 @@ def compare(a: Shard, b: Shard, same: bool, cosine: float):
     angle = np.arccos(cosine)
 
     def asks(one, two, **more):
+        if two.radius.any():
+            more["slack"] = two.radius.max() - two.radius
         return hits(two.graph, one.graph.x, np.cos(np.minimum(angle + one.radius + two.radius.max(), np.pi)) - 1e-4, **more)
 
     i, j = asks(a, b, own=True) if same else asks(a, b)

@@ -239,3 +239,48 @@ def test_shards_are_searched_both_ways(monkeypatch):
     monkeypatch.setattr(embedding, "hits", lambda graph, q, least: (np.empty(0, int), np.empty(0, int)) if graph is b.graph else real(graph, q, least))
     (_, _), (ma, mb), linked = embedding.compare(a, b, False, 0.9)
     assert ma.sum() == mb.sum() == len(linked) == 300
+
+
+def test_shards_with_few_links_are_asked_by_their_graphs(monkeypatch):
+    """Planted queries audit a graph that no audited query links with: all three links are found, and no scan takes all queries."""
+    rng = np.random.default_rng(9)
+    x, q = _unit(rng, 1500), _unit(rng, 900)
+    graph, _ = embedding.build(x, 2.0)
+    q[[100, 500, 899]] = 0.98 * x[[7, 700, 1400]] + 0.02 * q[[100, 500, 899]]
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    scanned, real = [], embedding._scan
+    monkeypatch.setattr(embedding, "_scan", lambda x, nodes, q, asked, least, **more: scanned.append(len(nodes) * len(asked)) or real(x, nodes, q, asked, least, **more))
+    assert _pairs(graph, q) == {(100, 7), (500, 700), (899, 1400)}
+    assert sum(scanned) < 0.2 * len(x) * len(q)
+
+
+def test_audits_leave_out_the_node_itself():
+    """Nodes that find themselves alone are no proof: a graph that falls into halves is scanned, and its one link between them found."""
+    x = _unit(np.random.default_rng(10), 600)
+    graph, _ = embedding.build(x, 2.0)
+    side = (np.arange(601) < 300) == (graph.top < 300)
+    inside, far = np.flatnonzero(side[:600])[1], np.flatnonzero(~side[:600])[5]
+    graph.x[far] = graph.x[inside]
+    for near in graph.near:
+        near[side[:, None] != side[near]] = -1
+    found = _pairs(graph, graph.x, own=True)
+    assert (inside, far) in found and (far, inside) in found
+
+
+def test_links_between_larger_shards(spark):
+    """9000 vectors in three shards or so, a tenth with a partner at a cosine of 0.905 or 0.95: every link of single vectors and of copies."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(900, 64))
+    side -= (side * x[:900]).sum(1, keepdims=True) * x[:900]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = np.where(np.arange(900) % 2, 0.905, 0.95)[:, None]
+    x = np.concatenate([x, c * x[:900] + (1 - c * c) ** 0.5 * side, x[:100]]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {r.vec_id: r for r in embedding.link_embeddings(df, shard_rows=3000).collect()}
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = v @ v.T >= 0.9
+    want = hit.sum(1) - 1
+    assert want.sum() >= 2000 and all(got[i].n_links <= n for i, n in enumerate(want.tolist()))
+    assert sum(r.n_links for r in got.values()) >= 0.98 * want.sum()
