@@ -387,8 +387,8 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.9, shard_rows: int | N
     Exact within what the audits let pass: either shard of a pair is searched with the nodes of the other, and beams widen
     until 96 audited queries and as many planted ones as make 128 hits together miss none (`hits`).
     shard_rows: vectors of a shard, by default as many as shard_bytes holds at 8 bytes a component and as they are long on
-    average; every pair of shards meets in one task, which holds both and what a search needs: about 20 times shard_bytes in
-    all. The work of a search grows with the logarithm of a shard's size and the number of pairs with the square of
+    average; every pair of shards meets in one task, which holds both and what a search needs.
+    The work of a search grows with the logarithm of a shard's size and the number of pairs with the square of
     the number of shards, so shards are as large as a task bears. The components travel as they came: floats as floats.
     """
     spark = vectors.sparkSession
