@@ -166,8 +166,9 @@ _RUN_ROWS = "SELECT '{0}' AS run, CAST(query_id AS VARCHAR) AS query_id, CAST(do
 def _(spark, d):
     """Two runs of one config, written and read again; the run of another config isn't read."""
     folder = scratch(spark, "a4")
-    for config, name, run in (("base", "bm25:words+v1", run_words), ("base", "bm25:prefix", run_stems), ("size-256", "bm25:words+v1", run_words)):
-        files.write_run(run(spark, d, 10), folder, config, name)
+    words, stems = run_words(spark, d, 10), run_stems(spark, d, 10)
+    for config, name, run in (("base", "bm25:words+v1", words), ("base", "bm25:prefix", stems), ("size-256", "bm25:words+v1", words)):
+        files.write_run(run, folder, config, name)
     return files.read_runs(spark, folder, "base")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import split_tokens
 from gleaner.operators import metrics, stats
-from gleaner.plans.base import documents, grade_totals, graded_run, judges, query, questions, read, run_stems, run_words, text_qrels, vector_run
+from gleaner.plans.base import documents, grade_totals, graded_run, judges, query, questions, read, run_stems, run_words, text_qrels, texts_of, vector_run
 from gleaner.plans.label_queries import _SUBSETS, subsets
 
 
@@ -22,8 +22,8 @@ def metric_sql(run: str, qrels: str, name: str) -> str:
  FROM q LEFT JOIN ideal USING (query_id) LEFT JOIN hit USING (query_id))"""
 
 
-def text_metrics(spark, d, run=run_words):
-    return metrics.per_query(run(spark, d), text_qrels(spark, d))
+def text_metrics(spark, d, run=run_words, qrels=None):
+    return metrics.per_query(run(spark, d), text_qrels(spark, d) if qrels is None else qrels)
 
 
 def vector_metrics(spark, d, dim=0):
@@ -133,7 +133,7 @@ gap AS (SELECT r.query_id, r.doc_id, r.rank, round(len(list_intersect(list_disti
 def lexical_gap(spark, d, pairs):
     """pairs with the share of a question's distinct tokens that the document holds."""
     q = questions(spark, d).select("query_id", F.array_distinct(split_tokens(F.col("text"))).alias("q"))
-    t = documents(spark, d).select("doc_id", split_tokens(F.col("text")).alias("t"))
+    t = texts_of(documents(spark, d), pairs).select("doc_id", split_tokens(F.col("text")).alias("t"))
     return pairs.join(q, "query_id").join(t, "doc_id").withColumn("share", F.round(F.size(F.array_intersect("q", "t")) / F.size("q"), 6)).drop("q", "t")
 
 
@@ -169,7 +169,8 @@ def _(spark, d):
 q AS (SELECT item_id AS query_id, regexp_matches(text, '[0-9]') AS with_number FROM benchmark)
 SELECT with_number, count(*) AS n, round(avg(m.mrr_10 - h.mrr_10), 6) AS effect FROM m JOIN h USING (query_id) JOIN q USING (query_id) GROUP BY with_number""")
 def _(spark, d):
-    a, b = text_metrics(spark, d), text_metrics(spark, d, run_stems)
+    qrels = text_qrels(spark, d)  # both runs are held against the same labels
+    a, b = text_metrics(spark, d, run_words, qrels), text_metrics(spark, d, run_stems, qrels)
     q = questions(spark, d).select("query_id", F.col("text").rlike("[0-9]").alias("with_number"))
     both = a.select("query_id", "mrr_10").join(b.select("query_id", F.col("mrr_10").alias("y")), "query_id").join(q, "query_id")
     return both.groupBy("with_number").agg(F.count("*").alias("n"), F.round(F.avg(F.col("mrr_10") - F.col("y")), 6).alias("effect"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import dense
 from gleaner.operators.judging import grade, parse_answer
 from gleaner.operators.models import overlap_judge
-from gleaner.plans.base import documents, query, questions, read, scratch, text_qrels, vectors
+from gleaner.plans.base import documents, query, questions, read, scratch, text_qrels, texts_of, vectors
 from gleaner.plans.label_queries import POOL, pooled
 from gleaner.sources import discovery, publish
 from gleaner.sources.reports import Report
@@ -113,7 +113,7 @@ def _(spark, d):
     """Events call for pairs of the pool, most of them several times and out of order; a second run takes up the stream when the later half has arrived."""
     folder = scratch(spark, "judging")
     pool = pooled(spark, d).select("query_id", "doc_id")
-    texts = pool.join(questions(spark, d).withColumnRenamed("text", "question"), "query_id").join(documents(spark, d).select("doc_id", "text"), "doc_id")
+    texts = pool.join(questions(spark, d).withColumnRenamed("text", "question"), "query_id").join(texts_of(documents(spark, d).select("doc_id", "text"), pool), "doc_id")
     texts.write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
     # which pair an event calls for, by numbers that follow the pairs' hashes

@@ -346,8 +346,9 @@ def _(spark, d):
     """The judging loop with a stub for the model: answers as text, parsed and graded."""
     from gleaner.operators.judging import grade, parse_answer
     from gleaner.operators.models import overlap_judge
-    from gleaner.plans.base import run_words
+    from gleaner.plans.base import run_words, texts_of
 
     q = questions(spark, d).withColumnRenamed("text", "question")
-    pairs = run_words(spark, d, 10).select("query_id", "doc_id").join(q, "query_id").join(documents(spark, d).select("doc_id", "text"), "doc_id")
+    run = run_words(spark, d, 10).select("query_id", "doc_id")
+    pairs = run.join(q, "query_id").join(texts_of(documents(spark, d).select("doc_id", "text"), run), "doc_id")
     return pairs.select("query_id", "doc_id", grade(parse_answer(overlap_judge(F.col("question"), F.col("text")))).alias("grade"))

@@ -2,8 +2,17 @@
 
 import math
 
+import random
+from collections import Counter
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from gleaner.functions import plain
+from gleaner.functions.stemmer import tokenize
+from gleaner.functions.text import truncate_tokens
+from gleaner.operators import bm25, chunking
 from gleaner.plans import registry
 
 
@@ -17,3 +26,54 @@ def test_truncated_vectors_have_no_signed_zero(spark, tmp_path):
     wanted = dict(db.execute(registry.oracle_sql()["g7_truncate_vectors"]).fetchall())
     assert {k: list(map(repr, v)) for k, v in got.items()} == {k: list(map(repr, v)) for k, v in wanted.items()}
     assert not any(x == 0 and math.copysign(1, x) < 0 for v in wanted.values() for x in v)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["d8_chunks_by_structure", "d9_headed_structure", "d9_headed_acts"])
+def test_documents_are_walked_without_a_group_each(spark, name):
+    """Where each document was a group of its own in pandas, most of the time went into making frames."""
+    plan = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_units_are_walked_in_order(spark):
+    """Units of several documents in any order; some documents' last clauses open the next chunk, long ones are cut."""
+    rows = [(d, u, f"{u}.1", "s" if u < 7 else "t", 100 * u, 100 * u + 60, "x" * (60 if u % 4 else 700)) for d in range(40) for u in range(1, 11)]
+    random.Random(2).shuffle(rows)
+    units = spark.createDataFrame(rows, "doc_id long, unit long, number string, section string, start int, end int, text string")
+    got = chunking.pack_units(units.repartition(7), size=100).orderBy("doc_id", "position").collect()
+    one = [tuple(r)[1:] for r in got if r.doc_id == 0]
+    assert len(got) == 40 * len(one) and all(tuple(r)[1:] == one[r.position] for r in got)
+    assert [r[0] for r in one] == list(range(len(one))) and [r[2] for r in one][:3] == ["1.1–3.1", "4.1", "4.1"]
+
+
+def test_words_counted_first_give_the_same_tokens():
+    rng = random.Random(5)
+    parts = ["a-1", "12/3-ab", "12-abcd", "ab-1-2/3", "x_y", "word,word", "don't", "3.14", "é", "1-a-b", "ab-12-", "закон", "590-п", "\u2003", "\x1c", "\n", "--", "tail-9/9-9"]
+    for _ in range(400):
+        text = rng.choice([" ", "", "\u00a0", "\t"]).join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        for tokens in plain.PLAIN.values():
+            assert plain.counted(text, tokens, plain.Words(tokens)) == dict(Counter(tokens(text))), text
+
+
+@pytest.mark.parametrize("tokenizer", [tokenize, truncate_tokens])
+def test_scores_are_added_up_where_a_document_lies(spark, tokenizer, monkeypatch):
+    """Scores and best lists equal those by joins with the postings, and no pair of query and document is shuffled."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 90}-x tail" for _ in range(rng.randrange(30)))) for i in range(1500)] + [(9000 + i, "w1-x w2-x w2-x") for i in range(600)] + [(99_999, None)], "doc_id long, text string")
+    q = spark.createDataFrame([("a", "w1 w2 w2 w88"), ("b", "tail"), ("c", "unknown"), ("d", None), ("e", "x w7")], "query_id string, text string")
+    index = bm25.build(docs, tokenizer)
+    all_, few = bm25.scores(index, q, "query_id", tokenizer), bm25.best(index, q, "query_id", tokenizer, 7)
+    assert "Aggregate [query_id" not in plan_of(all_) and "MapInArrow" in plan_of(few)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", *(["rank"] if "rank" in df.columns else [])).collect()))
+    mine = rows(all_), rows(few)
+    monkeypatch.setattr(bm25, "MOST_TERMS", 0)
+    joined = bm25.scores(index, q, "query_id", tokenizer)
+    assert (rows(joined), rows(bm25.top(joined, "query_id", 7))) == mine and len(mine[1]) == 7 * 3
+    assert rows(bm25.best(index, q, "query_id", tokenizer, 7)) == mine[1]
+    monkeypatch.undo()
+    named = bm25.build(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), tokenizer)  # ids that aren't numbers
+    assert bm25.best(named, q, "query_id", tokenizer, 7).count() == 7 * 3
