@@ -97,3 +97,17 @@ def test_a_stored_search_shuffles_no_postings(spark, tmp_path, monkeypatch, ids)
     assert rows(stored.search(q, "query_id", 6)) == want
     empty = q.where("query_id > 89")
     assert stored.search(empty, "query_id", 6).count() == 0 == stored._searched(empty, "query_id", 6, 4)[1].count()
+
+
+def test_plain_texts_are_split_without_the_pattern(monkeypatch):
+    """Only texts with Cyrillic letters or with a hyphen between letter and digit need the pattern of tokens; the others are split by bytes, to the same tokens."""
+    rng = random.Random(8)
+    letters = "ab1- 9/.é٣я  ﹣-–ß\x1c_"
+    for _ in range(4000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
+        wanted = [t.replace("ё", "е") for t in plain._TOKEN.findall(text)]
+        assert plain.split_tokens(text) == [t for t in wanted if not plain._CYRILLIC.search(text) or t not in plain._STOPWORDS], repr(text)
+        for tokens in plain.PLAIN.values():
+            assert plain.counted(text, tokens, plain.Words(tokens)) == dict(Counter(tokens(text))), repr(text)
+    monkeypatch.setattr(plain, "_TOKEN", None)
+    assert plain.split_tokens("it's a well-known café, 2024-01-02 \ud800x") == ["it", "s", "a", "well", "known", "caf", "2024", "01", "02", "x"]
